@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from quillstone.llm.common import table
 from quillstone.llm.exact_dedup import exact_dedup
 from quillstone.llm.line_dedup import line_dedup
+from quillstone.llm.mixing import mix_plan
+from quillstone.llm.sharding import assign, slots
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -64,3 +66,44 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = exact_dedup(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+@query(
+    "op5_mixing",
+    r"""
+    WITH d AS (
+      SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size
+      FROM documents),
+    s AS (
+      SELECT source, sum(size)::BIGINT AS source_size,
+             [3, 1, 2][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS weight
+      FROM d GROUP BY source),
+    f AS (  -- sources in the order in which they reach twice their words, as the level rises
+      SELECT 2.0 * source_size / weight AS full_at, sum(weight) OVER () AS all_weights,
+             sum(2.0 * source_size) OVER w - 2.0 * source_size AS held, sum(weight) OVER w - weight AS gone,
+             1.5 * sum(source_size) OVER () AS words, row_number() OVER w AS k
+      FROM s WINDOW w AS (ORDER BY 2.0 * source_size / weight, source NULLS LAST ROWS UNBOUNDED PRECEDING)),
+    l AS (SELECT arg_min(level, k) AS level
+      FROM (SELECT (words - held)::DOUBLE / (all_weights - gone) AS level, full_at, k FROM f) WHERE level <= full_at),
+    t AS (SELECT source, source_size, CASE WHEN weight * level >= 2 * source_size THEN 2.0 * source_size ELSE weight * level END::DOUBLE AS target
+      FROM s CROSS JOIN l),
+    c AS (
+      SELECT d.doc_id, size, source_size, target,
+             sum(size) OVER (PARTITION BY d.source ORDER BY md5(coalesce(doc_id::VARCHAR, '')), doc_id ROWS UNBOUNDED PRECEDING) - size AS before
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+    SELECT doc_id, size, source_size, target,
+           (greatest(0, least(size, floor(target)::BIGINT - before)) + greatest(0, least(size, floor(target)::BIGINT - source_size - before)))::BIGINT AS taken
+    FROM c""",
+)
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = mix_plan(table(spark, sf_dir, "documents"))
+    return plan.orderBy(F.get("positions", F.lit(0)).asc_nulls_last()).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op7_sharding")
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, even = table(spark, sf_dir, "documents"), {i: 1.0 for i in range(40)}
+    both = assign(assign(docs, even), even | {40: 1.0}, name="grown_shard")
+    text = F.coalesce(F.col("text"), F.lit(""))
+    rows = both.select("doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.lit("key").alias("law"), "shard", "grown_shard")
+    return slots(rows, ["doc_id", "text_crc32", "size"]).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
