@@ -168,7 +168,7 @@ def encode(text: Column, path: str, pattern: str) -> Column:
     @F.arrow_udf("binary")
     def ids(texts: pa.Array) -> pa.Array:
         v = vocabulary(path, pattern)
-        return pa.array((v.encode(t or "") for t in texts.to_pylist()), pa.binary(), len(texts))
+        return pa.array([v.encode(t or "") for t in texts.to_pylist()], pa.binary())
 
     return ids(text)
 
@@ -179,7 +179,7 @@ def decode(ids: Column, path: str, pattern: str) -> Column:
     @F.arrow_udf("binary")
     def out(batch: pa.Array) -> pa.Array:
         v = vocabulary(path, pattern)
-        return pa.array((v.decode(i.as_buffer()) if i.is_valid else b"" for i in batch), pa.binary(), len(batch))
+        return pa.array([v.decode(i.as_buffer()) if i.is_valid else b"" for i in batch], pa.binary())
 
     return out(ids)
 
