@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from quillstone.llm.bpe import bpe_round_trip
 from quillstone.llm.common import table
 from quillstone.llm.exact_dedup import exact_dedup
+from quillstone.llm.language_id import identify, remainder, train
 from quillstone.llm.line_dedup import line_dedup
 from quillstone.llm.mixing import mix_plan
 from quillstone.llm.sharding import assign, slots
@@ -115,3 +116,10 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = bpe_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query("op6_language_id")
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", remainder(F.col("doc_id"), 3) == 1)
+    model = train(docs.where("not held_out"))
+    return identify(docs, model, spans=False).select("doc_id", "held_out", "lang_pred", "score")
