@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillstone.llm import toxicity
 from quillstone.llm.bpe import bpe_round_trip
 from quillstone.llm.common import table
 from quillstone.llm.exact_dedup import exact_dedup
@@ -123,3 +124,12 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("held_out", remainder(F.col("doc_id"), 3) == 1)
     model = train(docs.where("not held_out"))
     return identify(docs, model, spans=False).select("doc_id", "held_out", "lang_pred", "score")
+
+
+@query("op3_toxicity")
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", remainder(F.col("doc_id"), 5) == 0)
+    labels = table(spark, sf_dir, "labels").where(remainder(F.col("doc_id"), 5) != 0)
+    model = toxicity.train(docs.where("not held_out"), labels)
+    out = toxicity.score(docs, model, spans=False)
+    return out.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
