@@ -75,13 +75,14 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
     """
     df = without(df, *RESULTS)
     if bits is None:
-        n = df.agg(F.sum(F.length(text_col) - F.length(F.translate(text_col, "\n", "")) + 1)).first()[0]
+        n = df.agg(F.sum(F.length(text_col) - F.length(F.replace(F.col(text_col), F.lit("\n"), F.lit(""))) + 1)).first()[0]
         bits = bloom.bits_for(n or 0)
     text, id_type = F.col(text_col), df.schema[id_col].dataType.simpleString()
     seen = bloom.build(df.select(text), _hashes(min_chars), bits)
     found = materialize(df.select(text, F.col(id_col).alias("id")).mapInArrow(_suspects(seen, min_chars), f"id {id_type}, key string"), "suspects")
     first = found.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.bool_or(F.col("id").isNull()).alias("nulls"))
-    first = first.where("least < most or (least is not null and nulls)").select(F.col("key").alias("dup"), "least")
+    # as a table of its own, the join below may split a key that very many documents hold
+    first = materialize(first.where("least < most or (least is not null and nulls)").select(F.col("key").alias("dup"), "least"), "repeated")
     drops = (
         found.join(first, F.col("key") == F.col("dup"))
         .where(~F.col("id").eqNullSafe(F.col("least")))

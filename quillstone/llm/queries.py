@@ -14,6 +14,7 @@ from quillstone.llm.common import table
 from quillstone.llm.exact_dedup import exact_dedup
 from quillstone.llm.language_id import identify, remainder, train
 from quillstone.llm.line_dedup import line_dedup
+from quillstone.llm.minhash import near_duplicates
 from quillstone.llm.mixing import mix_plan
 from quillstone.llm.sharding import assign, slots
 
@@ -133,3 +134,8 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.train(docs.where("not held_out"), labels)
     out = toxicity.score(docs, model, spans=False)
     return out.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query("op9_minhash")
+def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), shingle=4)
