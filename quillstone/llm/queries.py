@@ -8,9 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm import toxicity
+from quillstone.llm import toxicity, warc
 from quillstone.llm.bpe import bpe_round_trip
-from quillstone.llm.common import table
+from quillstone.llm.common import shared_path, table
 from quillstone.llm.exact_dedup import exact_dedup
 from quillstone.llm.language_id import identify, remainder, train
 from quillstone.llm.line_dedup import line_dedup
@@ -139,3 +139,23 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_minhash")
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=4)
+
+
+@query(
+    "op4_warc",
+    r"""
+    WITH p AS (SELECT page_id, coalesce(html, '') AS html, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS head FROM pages),
+    h AS (SELECT page_id, head, encode(html) AS b, sha1(html) AS s FROM p),
+    d AS (SELECT i, ('0x' || substr(s, 1 + 10 * i, 10))::BIGINT AS bits, page_id FROM h CROSS JOIN range(4) t(i)),
+    b AS (
+      SELECT page_id, string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((bits >> (35 - 5 * j)) & 31) + 1)::BIGINT, 1), '' ORDER BY i, j) AS digest
+      FROM d CROSS JOIN range(8) u(j) GROUP BY page_id)
+    SELECT page_id, octet_length(b)::BIGINT AS payload_bytes, digest AS payload_digest,
+           CASE WHEN page_id < head THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id < head THEN head END AS refers_to
+    FROM h JOIN b USING (page_id)""",
+)
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = shared_path(spark, "archives")
+    warc.write(table(spark, sf_dir, "pages"), at)
+    out = warc.read(spark, at, with_payload=False)
+    return out.select(F.col("record_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
