@@ -8,9 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm import toxicity, warc
+from quillstone.llm import media, toxicity, warc
 from quillstone.llm.bpe import bpe_round_trip
-from quillstone.llm.common import shared_path, table
+from quillstone.llm.common import materialize, shared_path, table
 from quillstone.llm.exact_dedup import exact_dedup
 from quillstone.llm.language_id import identify, remainder, train
 from quillstone.llm.line_dedup import line_dedup
@@ -159,3 +159,16 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     warc.write(table(spark, sf_dir, "pages"), at)
     out = warc.read(spark, at, with_payload=False)
     return out.select(F.col("record_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
+
+
+@query("op8_audio")
+def op8_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables hold no sound, so each embedding is played as a melody; ids divisible by 100 are searched for."""
+    rows = table(spark, sf_dir, "embeddings")
+    prints = materialize(media.fingerprints(rows.select("vec_id", media.render(F.col("embedding")).alias("audio")), F.col("audio")).drop("audio"), "prints")
+    pairs = materialize(media.align(prints, F.col("vec_id") % 100 == 0, "vec_id"), "alignments")
+    best = pairs.groupBy("class_id").agg(F.count("*").alias("n_links"), F.min(F.struct("bit_errors", F.col("query_class").alias("best_query"), F.col("offset").alias("best_offset"))).alias("best"))
+    classes = materialize(prints.where("digest is not null").groupBy(F.col("digest").alias("d")).agg(F.min("vec_id").alias("class_id")), "classes")
+    named = materialize(classes.join(best, "class_id", "left").select("d", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "best.best_query", "best.best_offset", F.col("best.bit_errors").alias("best_bit_errors")), "named")
+    out = prints.join(named, F.col("digest") == F.col("d"), "left")
+    return out.select("vec_id", F.size("bits").alias("n_integers"), F.col("digest").alias("print_digest"), "class_id", "n_links", "best_query", "best_offset", "best_bit_errors")
