@@ -1,0 +1,16 @@
+"""Running totals over a total order without one task that holds it all."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+
+def upto(df: DataFrame, order: str, count: str) -> DataFrame:
+    """df with the sum of count up to and with each row, by order. Totals of partitions are few rows."""
+    parts = df.repartitionByRange(order).withColumn("__p", F.spark_partition_id()).persist()
+    sums = parts.groupBy("__p").agg(F.sum(count).alias("__t"))
+    before = sums.withColumn("__b", F.sum("__t").over(Window.orderBy("__p")) - F.col("__t")).drop("__t")
+    here = F.sum(count).over(Window.partitionBy("__p").orderBy(order))
+    return parts.withColumn("__h", here).join(F.broadcast(before), "__p").withColumn("upto", F.col("__h") + F.col("__b")).drop("__p", "__h", "__b")
