@@ -1,9 +1,8 @@
 """Byte-level BPE encoding and decoding with a hierarchical-bitmap rank queue.
 
 A text is cut into pre-tokens by a pattern; each is merged on its own. Candidate merges wait in one
-bucket per merge rank, holding places in the linked list of the pre-token's pieces; a three-level
-bitmap over the ranks gives the lowest rank that has candidates by finding the first set bit in three
-words. A merge makes its neighbours' entries stale; stale entries are skipped when they come up. The
+bucket per merge rank, holding places in the linked list of the pre-token's pieces; a two-level bitmap
+over the ranks gives the lowest rank that has candidates by finding the first set bit in two words. A merge makes its neighbours' entries stale; stale entries are skipped when they come up. The
 queue costs the same per merge however long the pre-token is.
 """
 
@@ -23,47 +22,47 @@ from quillstone.llm.common import without
 
 #: Distinct pre-tokens that a Python worker remembers with their ids.
 REMEMBERED = 1_000_000
+#: Bits of a bitmap word; Python's integers can be as wide as that.
+SHIFT = 8
+WORD, MASK = 1 << SHIFT, (1 << SHIFT) - 1
 
 
 class RankQueue:
-    """Places by merge rank; pop() gives the leftmost place of the lowest rank."""
+    """Places by merge rank. A bit of a word in low: the rank has a bucket; a bit of top: the word has bits.
+
+    merge() works on the parts itself, for speed; they are empty again when it ends.
+    """
 
     def __init__(self, ranks: int):
         self.top = 0
-        self.mid = [0] * (ranks // 4096 + 1)
-        self.low = [0] * (ranks // 64 + 1)
-        self.buckets: dict[int, list[int]] = {}
+        self.low = [0] * (ranks // WORD + 1)
+        self.buckets: list[list[int] | None] = [None] * ranks
 
     def push(self, rank: int, place: int) -> None:
-        bucket = self.buckets.get(rank)
+        bucket = self.buckets[rank]
         if bucket is None:
             self.buckets[rank] = [place]
-            self.low[rank >> 6] |= 1 << (rank & 63)
-            self.mid[rank >> 12] |= 1 << (rank >> 6 & 63)
-            self.top |= 1 << (rank >> 12)
+            self.low[rank >> SHIFT] |= 1 << (rank & MASK)
+            self.top |= 1 << (rank >> SHIFT)
         else:
             heappush(bucket, place)
 
     def lowest(self) -> int:
-        """The lowest rank that has entries, or -1."""
+        """The lowest rank that has entries, or -1: the first set bits, level by level."""
         top = self.top
         if not top:
             return -1
         i = (top & -top).bit_length() - 1
-        word = self.mid[i]
-        i = i << 6 | (word & -word).bit_length() - 1
         word = self.low[i]
-        return i << 6 | (word & -word).bit_length() - 1
+        return i << SHIFT | (word & -word).bit_length() - 1
 
     def close(self, rank: int) -> None:
         """Forget an empty bucket."""
-        del self.buckets[rank]
-        i = rank >> 6
-        self.low[i] &= ~(1 << (rank & 63))
-        if not self.low[i]:
-            self.mid[i >> 6] &= ~(1 << (i & 63))
-            if not self.mid[i >> 6]:
-                self.top &= ~(1 << (i >> 6))
+        self.buckets[rank] = None
+        i = rank >> SHIFT
+        word = self.low[i] = self.low[i] ^ (1 << (rank & MASK))
+        if not word:
+            self.top ^= 1 << i
 
 
 class Vocabulary:
@@ -76,29 +75,35 @@ class Vocabulary:
         self.words = [b""] * (max(self.ranks.values(), default=0) + 1)
         for word, rank in self.ranks.items():
             self.words[rank] = word
+        self.packed = [i.to_bytes(4, "little") for i in range(len(self.words))]
         self.find = regex.compile(pattern).findall
         self.queue = RankQueue(len(self.words))
         self.known: dict[str, bytes] = _Known(self)
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one pre-token."""
-        whole = self.ranks.get(piece)
+        ranks = self.ranks
+        whole = ranks.get(piece)
         if whole is not None:
             return [whole]
-        n, ranks, q = len(piece), self.ranks, self.queue
+        n, q, get = len(piece), self.queue, ranks.get
+        push, buckets, low = q.push, q.buckets, q.low
         # pieces start at i and end at after[i]; before[i] starts the one on the left; waits[i]: rank of the pair that starts at i
-        after, before, waits = list(range(1, n + 1)), list(range(-1, n - 1)), [-1] * n
-        for i in range(n - 1):
-            r = ranks.get(piece[i : i + 2], -1)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        waits = [get(piece[i : i + 2], -1) for i in range(n - 1)]
+        waits.append(-1)
+        for i, r in enumerate(waits):
             if r >= 0:
-                waits[i] = r
-                q.push(r, i)
-        get, push = ranks.get, q.push
-        while (rank := q.lowest()) >= 0:
-            bucket = q.buckets[rank]
+                push(r, i)
+        while top := q.top:
+            # find first set, in the upper level and then in its word
+            at = (top & -top).bit_length() - 1
+            word = low[at]
+            rank = at << SHIFT | (word & -word).bit_length() - 1
+            bucket = buckets[rank]
             lower = False  # a merge can bring up a lower rank, which then comes first
             while bucket and not lower:
-                i = heappop(bucket) if len(bucket) > 1 else bucket.pop()
+                i = bucket.pop() if len(bucket) == 1 else heappop(bucket)
                 if waits[i] != rank:
                     continue  # stale
                 j = after[i]
@@ -117,7 +122,8 @@ class Vocabulary:
                     waits[h] = r = get(piece[h:end], -1)
                     if r >= 0:
                         push(r, h)
-                        lower = lower or r < rank
+                        if r < rank:
+                            lower = True
             if not bucket:
                 q.close(rank)
         out, i = [], 0
@@ -142,7 +148,8 @@ class _Known(dict):
         self.vocabulary = vocabulary
 
     def __missing__(self, token: str) -> bytes:
-        ids = np.array(self.vocabulary.merge(token.encode()), "<u4").tobytes()
+        v = self.vocabulary
+        ids = b"".join([v.packed[i] for i in v.merge(token.encode())])
         if len(token) <= 64:
             if len(self) >= REMEMBERED:
                 self.clear()
@@ -184,11 +191,17 @@ def decode(ids: Column, path: str, pattern: str) -> Column:
     return out(ids)
 
 
-def unpacked(ids: Column) -> Column:
-    """Ids in a binary as an array of long."""
-    at = F.sequence(F.lit(0), (F.octet_length(ids) / 4).cast("int") - 1)
-    number = lambda i: F.aggregate(F.sequence(F.lit(4), F.lit(1), F.lit(-1)), F.lit(0).cast("long"), lambda s, k: s * 256 + F.conv(F.hex(ids.substr(i * 4 + k, F.lit(1))), 16, 10).cast("long"))
-    return F.when(F.octet_length(ids) > 0, F.transform(at, number)).otherwise(F.array().cast("array<bigint>"))
+def encode_array(text: Column, path: str, pattern: str) -> Column:
+    """Ids of a text as an array of int; null and empty texts have none."""
+
+    @F.arrow_udf("array<int>")
+    def ids(texts: pa.Array) -> pa.Array:
+        v = vocabulary(path, pattern)
+        parts = [v.encode(t or "") for t in texts.to_pylist()]
+        ends = np.cumsum([0] + [len(p) // 4 for p in parts], dtype=np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(parts), "<i4")))
+
+    return ids(text)
 
 
 def bpe_round_trip(df: DataFrame, path: str, pattern: str, text_col: str = "text") -> DataFrame:
