@@ -173,10 +173,11 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n
     kind = df.schema[id_col].dataType.simpleString()
     records = df.select(k.alias("k"), norm.alias("t"), F.col(id_col).alias("least")).mapInArrow(_fold(budget // 2), RECORDS.format(id=kind))
     classes = materialize(records.repartition("k").mapInArrow(_classes(budget), CLASSES.format(id=kind)), "classes")
-    rows = df.withColumn("__k", k).withColumn("text_sha256", digest)
-    results = [F.col("least").alias("keep_id"), F.col("n").alias("group_size"), F.col(id_col).eqNullSafe(F.col("least")).alias("kept"), "text_sha256"]
-    plain = rows.join(classes.where("not mixed"), F.col("__k") == F.col("k")).select(*df.columns, *results)
-    if classes.where("mixed").isEmpty():
+    classes = classes.select(*[F.col(c).alias(f"__{c}") for c in classes.columns])
+    rows = df.withColumn("__key", k).withColumn("text_sha256", digest)
+    results = [F.col("__least").alias("keep_id"), F.col("__n").alias("group_size"), F.col(id_col).eqNullSafe(F.col("__least")).alias("kept"), "text_sha256"]
+    plain = rows.join(classes.where("not __mixed"), F.col("__key") == F.col("__k")).select(*df.columns, *results)
+    if classes.where("__mixed").isEmpty():
         return plain
-    mixed = rows.withColumn("__t", norm).join(classes.where("mixed"), (F.col("__k") == F.col("k")) & (F.col("__t") == F.col("only_text")))
+    mixed = rows.withColumn("__norm", norm).join(classes.where("__mixed"), (F.col("__key") == F.col("__k")) & (F.col("__norm") == F.col("__only_text")))
     return plain.unionByName(mixed.select(*df.columns, *results))

@@ -103,4 +103,4 @@ def mix_plan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
 def mix(df: DataFrame, **options) -> DataFrame:
     """The training sequence: a row for each pass over each taken document, range-sorted by position."""
     plan = mix_plan(df, **options)
-    return plan.withColumn("position", F.explode("positions")).drop("positions").orderBy("position")
+    return plan.withColumn("position", F.explode("positions")).drop("positions").orderBy("position", F.xxhash64(options.get("id_col", "doc_id")))

@@ -102,7 +102,7 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mix_plan(table(spark, sf_dir, "documents"))
-    return plan.orderBy(F.get("positions", F.lit(0)).asc_nulls_last()).select("doc_id", "size", "source_size", "target", "taken")
+    return plan.orderBy(F.get("positions", F.lit(0)).asc_nulls_last(), "doc_id").select("doc_id", "size", "source_size", "target", "taken")
 
 
 @query("op7_sharding")
