@@ -8,8 +8,9 @@ offset between them; at the offset with most votes the share of differing bits d
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 from functools import lru_cache
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -89,47 +90,37 @@ def fingerprint(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return bits, (loud[WIDEST:] - loud[: len(loud) - WIDEST] == WIDEST)[: len(bits)] if len(bits) else np.zeros(0, bool)
 
 
-def _print(pcm: bytes | None) -> dict:
-    samples = np.frombuffer(pcm or b"", "<i2", len(pcm or b"") // 2).astype(np.float32) / 32768
-    bits, loud = fingerprint(samples)
-    return {"bits": bits, "sound": loud, "digest": xxhash.xxh3_128_hexdigest(bits.tobytes()) if len(bits) else None}
+def pcm16(data: bytes | None) -> np.ndarray:
+    """Samples of 16-bit little-endian mono PCM at RATE; an odd last byte is left out."""
+    return np.frombuffer(data or b"", "<i2", len(data or b"") // 2).astype(np.float32) / 32768
 
 
-PRINT = "struct<bits array<long>, sound array<boolean>, digest string>"
+def melody(numbers: list | None, seconds: float = 0.1) -> np.ndarray:
+    """Samples of a list of numbers played as notes around 440 Hz, a difference of 0.5 being an octave."""
+    n = int(RATE * seconds)
+    fade = np.minimum(1, np.minimum(np.arange(n), np.arange(n)[::-1]) / (0.1 * n))
+    hz = 440 * 2 ** np.clip(2 * np.nan_to_num(np.array([0 if v is None else v for v in numbers or ()], float)), -1, 1)
+    return (np.sin(2 * np.pi * hz[:, None] / RATE * np.arange(n)) * fade).ravel().astype(np.float32)
 
 
-def fingerprints(df: DataFrame, audio: Column) -> DataFrame:
-    """df with bits (array of packed integers), sound and digest of a PCM column.
+def fingerprints(df: DataFrame, media: Column, decode: Callable[[Any], np.ndarray] = pcm16) -> DataFrame:
+    """df with bits (array of packed integers), sound and digest of a media column.
 
-    audio: binary of 16-bit little-endian mono samples at RATE. Null, empty and short recordings have
-    no integers and a null digest. Columns named like a result are replaced.
+    decode turns one value of the column into samples at RATE, one recording at a time. Null, empty and
+    short recordings have no integers and a null digest. Columns named like a result are replaced.
     """
     df = without(df, "bits", "sound", "digest")
 
-    @F.arrow_udf(PRINT)
+    def one(value) -> dict:
+        bits, loud = fingerprint(decode(value))
+        return {"bits": bits, "sound": loud, "digest": xxhash.xxh3_128_hexdigest(bits.tobytes()) if len(bits) else None}
+
+    @F.arrow_udf("struct<bits array<long>, sound array<boolean>, digest string>")
     def run(batch: pa.Array) -> pa.Array:
         kind = pa.struct([("bits", pa.list_(pa.int64())), ("sound", pa.list_(pa.bool_())), ("digest", pa.string())])
-        return pa.array([_print(x.as_py()) for x in batch], kind)
-
-    return df.withColumn("__p", run(audio)).select(*df.columns, "__p.*")
-
-
-def render(notes: Column, seconds: float = 0.1) -> Column:
-    """PCM of an array of numbers: each is a note, around 440 Hz, an octave to a unit of 0.5."""
-
-    @F.arrow_udf("binary")
-    def pcm(batch: pa.Array) -> pa.Array:
-        n = int(RATE * seconds)
-        fade = np.minimum(1, np.minimum(np.arange(n), np.arange(n)[::-1]) / (0.1 * n))
-
-        def one(values) -> bytes:
-            hz = 440 * 2 ** np.clip(2 * np.nan_to_num(np.array([0 if v is None else v for v in values], float)), -1, 1)
-            wave = np.sin(2 * np.pi * hz[:, None] / RATE * np.arange(n)) * fade
-            return (wave.ravel() * 20000).astype("<i2").tobytes()
-
-        return pa.array([one(x.as_py()) if x.is_valid and len(x) else b"" for x in batch], pa.binary())
+        return pa.array([one(x.as_py()) for x in batch], kind)
 
-    return pcm(notes)
+    return df.withColumn("__p", run(media)).select(*df.columns, "__p.*")
 
 
 def align(df: DataFrame, queries: Column, id_col: str = "id") -> DataFrame:
