@@ -75,8 +75,11 @@ def shingle_sets(texts: list, k: int) -> list[np.ndarray]:
     at = np.flatnonzero(word_byte)
     begin = np.concatenate([[0], np.cumsum(length)[:-1]])
     within = np.arange(len(at)) - np.repeat(begin, length)
-    far = within >> 8  # very long words: powers repeat, so the block number goes in as well
-    h = np.add.reduceat((_LOWER[raw[at]].astype(np.uint64) + np.uint64(1) + (far.astype(np.uint64) << np.uint64(9))) * _POWERS[within & 255], begin)
+    weight = _POWERS[within & 255]
+    if length.max() > 256:
+        blocks = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(int(length.max()) >> 8, (_POWERS[255:] * _ODD[0])[0], np.uint64)]), dtype=np.uint64)
+        weight = weight * blocks[within >> 8]
+    h = np.add.reduceat((_LOWER[raw[at]].astype(np.uint64) + np.uint64(1)) * weight, begin)
     h = _mix(h + length.astype(np.uint64) * _ODD[1])
     n = len(h)
     rolled = np.zeros(max(0, n - k + 1), np.uint64)
