@@ -235,7 +235,7 @@ def drift(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def paired_flips(rows: DataFrame, first: str, second: str) -> DataFrame:
     """Rows that flip in one of two arms alone; their counts feed an exact McNemar test."""
-    return rows.agg(F.count("*").alias("n"), F.count_if((F.col(first) == 1) & (F.col(second) == 0)).alias("only_first"), F.count_if((F.col(first) == 0) & (F.col(second) == 1)).alias("only_second"), F.count_if((F.col(first) == 1) & (F.col(second) == 1)).alias("both"))
+    return rows.agg(F.count("*").alias("n"), F.count_if((F.col(first) == 1) & (F.col(second) == 0)).alias("only_first"), F.count_if((F.col(first) == 0) & (F.col(second) == 1)).alias("only_second"), F.count_if((F.col(first) == 1) & (F.col(second) == 1)).alias("in_both"))
 
 
 def kappa(rows: DataFrame, a: str, b: str) -> DataFrame:

@@ -269,7 +269,7 @@ def drift_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.drift(c.select("row_id", "value"), c.select("row_id", F.col("fresh").alias("value")))
 
 
-@query("paired_flips", "WITH f AS (SELECT ((value >= 100) <> (value >= 102))::INT AS a, ((value >= 100) <> (value >= 100 OR (event_type = 'error' AND user_id % 7 = 0)))::INT AS b FROM events) SELECT count(*) AS n, count(*) FILTER (a = 1 AND b = 0) AS only_first, count(*) FILTER (a = 0 AND b = 1) AS only_second, count(*) FILTER (a = 1 AND b = 1) AS both FROM f")
+@query("paired_flips", "WITH f AS (SELECT ((value >= 100) <> (value >= 102))::INT AS a, ((value >= 100) <> (value >= 100 OR (event_type = 'error' AND user_id % 7 = 0)))::INT AS b FROM events) SELECT count(*) AS n, count(*) FILTER (a = 1 AND b = 0) AS only_first, count(*) FILTER (a = 0 AND b = 1) AS only_second, count(*) FILTER (a = 1 AND b = 1) AS in_both FROM f")
 def paired_flips(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = event_cells(spark, sf_dir, "small").select("row_id", F.col("flip").alias("a"))
     b = event_cells(spark, sf_dir, "other").select("row_id", F.col("flip").alias("b"))
@@ -373,7 +373,7 @@ def label_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.label_export(old, new).select("pair", F.array_join(both, " ").alias("labels"))
 
 
-@query("path_replay", f"WITH {_cells_sql('other')} SELECT stratum, n, sum(flip)::BIGINT AS flips FROM (SELECT stratum, flip, row_number() OVER (PARTITION BY stratum ORDER BY md5('42:' || row_id::VARCHAR), row_id) AS place FROM cells) JOIN (SELECT unnest([45, 90, 180]) AS n) ON place <= n GROUP BY stratum, n")
+@query("path_replay", f"WITH {_cells_sql('other')} SELECT stratum, n, sum(flip)::BIGINT AS flips FROM (SELECT stratum, flip, row_number() OVER (PARTITION BY stratum ORDER BY md5('42:' || row_id::VARCHAR), row_id) AS place FROM cells) JOIN (SELECT unnest([45, 90, 180]) AS n) ON place <= n GROUP BY stratum, n HAVING max(place) = n")
 def path_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Looks recorded twice come to one path."""
     r = certify.ranked(event_cells(spark, sf_dir, "other"), rng.hash_order(42, F.col("row_id"))).where(F.col("place").isin(45, 90, 180)).select("stratum", F.col("place").cast("int").alias("n"), F.col("flips").cast("long").alias("flips"))

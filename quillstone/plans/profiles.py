@@ -106,11 +106,11 @@ _sorted("sort_desc_nulls", ("max_big_order", "desc"), "max_big_order DESC NULLS
 _sorted("page_2", ("segment", "desc"), "segment DESC NULLS LAST, id", 25, 25)
 
 
-@query("keyset_page", "SELECT o_orderkey, epoch(o_orderdate)::BIGINT AS at, row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn, true AS more FROM orders WHERE o_orderdate < TIMESTAMP '1997-01-01' OR (o_orderdate = TIMESTAMP '1997-01-01' AND o_orderkey < 500) QUALIFY rn <= 20")
+@query("keyset_page", "SELECT o_orderkey, epoch(o_orderdate)::BIGINT AS ordered, row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn, true AS more FROM orders WHERE o_orderdate < TIMESTAMP '1997-01-01' OR (o_orderdate = TIMESTAMP '1997-01-01' AND o_orderkey < 500) QUALIFY rn <= 20")
 def keyset_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").withColumn("o_orderdate", F.col("o_orderdate").cast("timestamp"))
     cursor = (F.lit("1997-01-01 00:00:00").cast("timestamp"), 500)
-    return search.keyset_page(o, "o_orderdate", "o_orderkey", cursor).select("o_orderkey", F.unix_seconds("o_orderdate").alias("at"), F.col("rn").cast("long").alias("rn"), "more")
+    return search.keyset_page(o, "o_orderdate", "o_orderkey", cursor).select("o_orderkey", F.unix_seconds("o_orderdate").alias("ordered"), F.col("rn").cast("long").alias("rn"), "more")
 
 
 @query("facet_scalar", SQL + "SELECT nation AS value, count(*) AS n FROM profiles WHERE balance >= 0 AND nation IS NOT NULL GROUP BY nation ORDER BY n DESC, value LIMIT 50")
