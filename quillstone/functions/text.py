@@ -168,3 +168,19 @@ def cosine(a: Column, b: Column) -> Column:
 def json_equal(a: Column, b: Column) -> Column:
     """Equality of canonical JSON text, nulls equal."""
     return a.eqNullSafe(b)
+
+
+def parse_cell(c: Column) -> Column:
+    """A stored cell as JSON text: as it is if it parses, else as a JSON string."""
+    quoted = F.regexp_extract(F.to_json(F.struct(c.alias("v"))), r"(?s)^\{\"v\":(.*)\}$", 1)
+    return F.when(F.try_parse_json(c).isNotNull(), c).otherwise(F.when(c.isNotNull(), quoted))
+
+
+def parse_arrays(c: Column) -> Column:
+    """A JSON list in text as an array; none for null and for what isn't a list."""
+    return F.coalesce(F.from_json(c, "array<string>"), F.array().cast("array<string>"))
+
+
+def titled(title: Column, first_message: Column, default: str = "New chat") -> Column:
+    """A chat's own title, or one from its first message while it still has the default."""
+    return F.when(title == default, fallback_title(first_message)).otherwise(title)

@@ -103,6 +103,15 @@ def apply_certificate(cells: DataFrame, column_id: str, source: int, target: int
     return new.withColumns(zero | {"cost_usd": F.lit(0.0), "status": F.lit("reused_certified"), "certificate_id": F.lit(certificate_id)}).select(*cells.columns)
 
 
+def move_cells(cells: DataFrame, column_id: str, source: int, target: int, model: str) -> DataFrame:
+    """cells with those of a model filed under the version that was issued for it, without a certificate;
+    cells that the target version has already stay, and the misfiled ones with them."""
+    this = (F.col("column_id") == column_id) & (F.col("prompt_version") == source) & (F.col("model") == model)
+    there = cells.where((F.col("column_id") == column_id) & (F.col("prompt_version") == target)).select(F.col("row_id").alias("__r"), F.lit(True).alias("__there")).distinct()
+    out = cells.join(there, F.col("row_id") == F.col("__r"), "left").withColumn("__move", this & F.col("__there").isNull())
+    return out.withColumns({"prompt_version": F.when(F.col("__move"), F.lit(target).cast("int")).otherwise(F.col("prompt_version")), "certificate_id": F.when(~F.col("__move"), F.col("certificate_id"))}).select(*cells.columns)
+
+
 def ledger_total(ledger: DataFrame) -> DataFrame:
     return ledger.agg(F.coalesce(F.sum("cost_usd"), F.lit(0.0)).alias("total"))
 

@@ -314,3 +314,56 @@ def label_export(old: DataFrame, new: DataFrame) -> DataFrame:
     rows = old.join(new.select("pair", "row_id", F.col("value").alias("fresh")), ["pair", "row_id"], "left")
     s = F.sort_array(F.collect_list(F.struct("row_id", "value", "fresh")))
     return rows.groupBy("pair").agg(s.alias("s")).select("pair", F.transform("s", lambda x: x.row_id).alias("row_ids"), F.transform("s", lambda x: x.value).alias("cached"), F.transform("s", lambda x: x.fresh).alias("fresh"))
+
+
+def noise_floor(draws: DataFrame) -> DataFrame:
+    """How often two draws of one prompt differ: draws (regime, a, b)."""
+    return draws.groupBy("regime").agg(F.count("*").alias("n"), F.avg(flip_label(F.col("a"), F.col("b"))).alias("self_flip"))
+
+
+def label_noise(runs: DataFrame) -> DataFrame:
+    """Range of savings and of certification over labelings: runs (labeling, savings, reused)."""
+    each = runs.groupBy("labeling").agg(F.avg("savings").alias("savings"), F.avg((F.col("reused") > 0).cast("int")).alias("certified"))
+    return each.agg(*[f(c).alias(f"{n}_{c}") for c in ("savings", "certified") for n, f in (("least", F.min), ("most", F.max))])
+
+
+def exclusion_check(rows: DataFrame, dropped: str, flip: str) -> DataFrame:
+    """Whether rows that one arm leaves out flip more in the other: n, flips and rate by dropped or not."""
+    return rows.groupBy(dropped).agg(F.count("*").alias("n"), F.sum(flip).alias("flips"), F.avg(flip).alias("rate"))
+
+
+def median_nearest(rows: DataFrame, value: str) -> DataFrame:
+    """The value at place n/2 of the order, not an average of two; no task sorts all rows."""
+    from quillstone.plans.ranks import upto
+
+    counts = rows.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("m"))
+    n = counts.agg(F.sum("m").alias("n"))
+    last = upto(counts, value, "m").crossJoin(F.broadcast(n))
+    return last.agg(F.min(F.when(F.col("upto") > F.floor(F.col("n") / 2), F.col(value))).alias("median"))
+
+
+def drift_summary(a: DataFrame, b: DataFrame) -> DataFrame:
+    """n, disagreements, rate and its score interval of two label sets (row_id, value)."""
+    from quillstone.functions.stats import wilson
+
+    rows = a.select("row_id", F.col("value").alias("va")).join(b.select("row_id", F.col("value").alias("vb")), "row_id")
+    s = rows.agg(F.count("*").alias("n"), F.sum(flip_label(F.col("va"), F.col("vb"))).alias("k"))
+    low, high = wilson(F.col("k"), F.col("n"))
+    return s.select("n", "k", (F.col("k") / F.col("n")).alias("rate"), low.alias("low"), high.alias("high"))
+
+
+def supg_by_value(cells: DataFrame, score: str, alpha: float, delta: float, budget: int, thresholds: Sequence[float], values: Sequence[str]) -> DataFrame:
+    """supg within the cells of each cached value, each with its share of delta and of the budget."""
+    out = None
+    for v in values:
+        one = supg(cells.where(F.col("value") == v), score, alpha, delta / len(values), budget // len(values), thresholds).withColumn("value", F.lit(v))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def lag1_counts(rows: DataFrame, order: Sequence[str], flip: str, part: Sequence[str] = ()) -> DataFrame:
+    """The same autocorrelation of 0/1 series as whole numbers, so ties of permutations are exact: n times
+    the pairs that both flip, n, and the flips."""
+    w = Window.partitionBy(*part).orderBy(*order)
+    x = rows.withColumn("__prev", F.lag(flip).over(w))
+    return x.groupBy(*part).agg(F.count("*").alias("n"), F.sum(flip).alias("flips"), F.coalesce(F.sum(F.col(flip) * F.col("__prev")), F.lit(0)).alias("pairs"))

@@ -59,6 +59,32 @@ def guard(estimated: DataFrame, ledger: DataFrame, cap: float = BUDGET_USD) -> N
         raise BudgetExceeded(f"{spent:.2f} spent and {more:.2f} estimated exceed {cap:.2f} USD")
 
 
+def gate(estimated: DataFrame, confirmed: bool, ids: int) -> dict | None:
+    """What to answer instead of running: the estimate, where a user must confirm it first; else None."""
+    if ids > MOST_IDS:
+        raise ValueError(f"{ids} rows at once; at most {MOST_IDS}")
+    e = estimated.first().asDict()
+    return e if e["confirm"] and not confirmed else None
+
+
+def embed(df: DataFrame, text_col: str, model: Callable[[list[str]], list[list[float]]], batch: int = 100) -> DataFrame:
+    """df with embedding (array of float), asked for in batches of texts; null texts have none."""
+    kinds = ", ".join(f"`{c}` {t}" for c, t in df.dtypes)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            texts = pdf[text_col].tolist()
+            at = [i for i, t in enumerate(texts) if t is not None]
+            out: list = [None] * len(texts)
+            for k in range(0, len(at), batch):
+                part = at[k : k + batch]
+                for i, v in zip(part, model([texts[i] for i in part]), strict=True):
+                    out[i] = [float(x) for x in v]
+            yield pdf.assign(embedding=out)
+
+    return df.mapInPandas(run, f"{kinds}, embedding array<float>")
+
+
 def dedupe(work: DataFrame) -> DataFrame:
     """work (row_id, row_content_hash, ...) with computes: true for the smallest row id of each content."""
     return work.withColumn("computes", F.row_number().over(Window.partitionBy("row_content_hash").orderBy("row_id")) == 1)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillstone.operators.filters import Catalog, FilterSpec, UnsupportedPredicate, compile_spec
+from quillstone.operators.filters import Catalog, Field, FilterSpec, UnsupportedPredicate, compile_spec
 
 FACET_LIMIT, PAGE_LIMIT = 50, 50
 API_LIMIT, API_DEFAULT = 100, 25
@@ -43,16 +43,20 @@ def order_by(df: DataFrame, sort: tuple[str, str] | None, id_col: str) -> list[C
 
 
 class Table:
-    """One adapter over any DataFrame: fields, count, page, facets and rows by id.
-
-    cells: an optional table of computed columns' current cells (column_id, row_id, value) to sort by.
-    """
+    """One adapter over any DataFrame: fields, count, page, facets and rows by id."""
 
     capabilities = {"text": True, "geo": True, "semantic": False, "facets": True}
 
     def __init__(self, df: DataFrame, fields: Catalog, id_col: str, text: str = "contains"):
         self.df, self.fields, self.id_col, self.text = df, fields, id_col, text
 
+    def with_cells(self, cells: DataFrame, column_id: str, field: Field) -> Table:
+        """This table with a computed column as a further field, to filter, facet and sort by. cells:
+        (column_id, row_id, value), a row's current cell once; rows without a cell have null."""
+        own = cells.where(F.col("column_id") == column_id).select(F.col("row_id").alias("__row"), F.regexp_replace("value", '^"|"$', "").try_cast(field.spark_type).alias(field.name))
+        df = self.df.join(own, F.col(self.id_col).cast("string") == F.col("__row"), "left").drop("__row")
+        return Table(df, {**self.fields, field.name: field}, self.id_col, self.text)
+
     def matching(self, spec: FilterSpec) -> DataFrame:
         return self.df.where(compile_spec(spec, self.fields, self.text))
 

@@ -378,3 +378,48 @@ def path_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Looks recorded twice come to one path."""
     r = certify.ranked(event_cells(spark, sf_dir, "other"), rng.hash_order(42, F.col("row_id"))).where(F.col("place").isin(45, 90, 180)).select("stratum", F.col("place").cast("int").alias("n"), F.col("flips").cast("long").alias("flips"))
     return evaluate.path_replay(r.unionByName(r))
+
+
+@query("noise_floor", "SELECT event_type AS regime, count(*) AS n, round(avg(((value >= 100) <> (value >= 102))::INT), 9) AS self_flip FROM events GROUP BY event_type")
+def noise_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = event_cells(spark, sf_dir, "small").select(F.col("event_type").alias("regime"), F.col("value").alias("a"), F.col("fresh").alias("b"))
+    return evaluate.noise_floor(c).withColumn("self_flip", F.round("self_flip", 9))
+
+
+@query("label_noise", """WITH r AS (SELECT event_type AS labeling, user_id, avg((value >= 20)::INT) AS savings, sum((value >= 100)::INT) AS reused FROM events GROUP BY ALL),
+e AS (SELECT labeling, avg(savings) AS savings, avg((reused > 0)::INT) AS certified FROM r GROUP BY labeling)
+SELECT round(min(savings), 9) AS least_savings, round(max(savings), 9) AS most_savings, round(min(certified), 9) AS least_certified, round(max(certified), 9) AS most_certified FROM e""")
+def label_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("labeling"), "user_id").agg(F.avg((F.col("value") >= 20).cast("int")).alias("savings"), F.count_if(F.col("value") >= 100).alias("reused"))
+    out = evaluate.label_noise(r)
+    return out.select(*[F.round(c, 9).alias(c) for c in out.columns])
+
+
+@query("exclusion_check", "SELECT event_id % 11 = 0 AS dropped, count(*) AS n, sum((value >= 20)::INT)::BIGINT AS flips, round(avg((value >= 20)::INT), 9) AS rate FROM events GROUP BY dropped")
+def exclusion_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").select((F.col("event_id") % 11 == 0).alias("dropped"), (F.col("value") >= 20).cast("int").alias("k"))
+    return evaluate.exclusion_check(e, "dropped", "k").withColumn("rate", F.round("rate", 9))
+
+
+@query("median_latency", "SELECT value AS median FROM (SELECT value, row_number() OVER (ORDER BY value) - 1 AS i, count(*) OVER () AS n FROM events) WHERE i = n // 2")
+def median_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.median_nearest(table(spark, sf_dir, "events"), "value")
+
+
+@query("drift_summary", "WITH s AS (SELECT count(*) AS n, sum(((value >= 100) <> (value >= 102))::INT)::BIGINT AS k FROM events), p AS (SELECT n, k, k / n AS p, 1.96 * 1.96 AS z FROM s) SELECT n, k, round(p, 9) AS rate, round((p + z / (2 * n) - 1.96 * sqrt(p * (1 - p) / n + z / (4 * n * n))) / (1 + z / n), 9) AS low, round((p + z / (2 * n) + 1.96 * sqrt(p * (1 - p) / n + z / (4 * n * n))) / (1 + z / n), 9) AS high FROM p")
+def drift_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = event_cells(spark, sf_dir, "small")
+    out = evaluate.drift_summary(c.select("row_id", "value"), c.select("row_id", F.col("fresh").alias("value")))
+    return out.withColumns({x: F.round(x, 9) for x in ("rate", "low", "high")})
+
+
+@query("supg_value")
+def supg_value(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = event_cells(spark, sf_dir, "small").withColumn("score", F.col("row_id") % 101 / 100)
+    return evaluate.supg_by_value(c, "score", 0.1, 0.1, 600, (0.0, 0.25, 0.5, 0.75, 0.9), ("true", "false"))
+
+
+@query("lag1_int", "SELECT event_type, count(*) AS n, sum(k)::BIGINT AS flips, coalesce(sum(k * p), 0)::BIGINT AS pairs FROM (SELECT event_type, k, lag(k) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS p FROM (SELECT *, (value >= 20)::INT AS k FROM events)) GROUP BY event_type")
+def lag1_int(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").withColumn("k", (F.col("value") >= 20).cast("int"))
+    return evaluate.lag1_counts(e, ["ts", "event_id"], "k", ["event_type"])

@@ -304,3 +304,51 @@ def run_column(spark: SparkSession, sf_dir: str) -> DataFrame:
     column = {"id": "even", "prompt_template": "Source {{source}}, quality {{quality}}", "prompt_version": 1, "model": "model-a"}
     out = run.run_column(labelled(spark, sf_dir), "doc_id", column, none, oracle, run.Output("boolean"))
     return out.select("row_id", "status", "value", "input_tokens")
+
+
+@query("normalize_row", "SELECT event_id, coalesce(json_extract_string(props, '$.k'), '-') AS k, CASE WHEN event_id % 3 = 0 THEN '' ELSE event_type || '|' || user_id::VARCHAR END AS parts FROM events")
+def normalize_row(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON text as values: an object's field, and a list, which a third of the rows lack."""
+    e = table(spark, sf_dir, "events")
+    listed = F.when(F.col("event_id") % 3 != 0, F.to_json(F.array("event_type", F.col("user_id").cast("string"))))
+    return e.select("event_id", F.coalesce(F.get_json_object("props", "$.k"), F.lit("-")).alias("k"), F.array_join(text.parse_arrays(listed), "|").alias("parts"))
+
+
+@query("parse_cell", "SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'true' WHEN 1 THEN '12.5' WHEN 2 THEN '\"plain text\"' WHEN 3 THEN '{\"a\":1}' END AS cell FROM events")
+def parse_cell(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = F.get(F.array(F.lit("true"), F.lit("12.5"), F.lit("plain text"), F.lit('{"a":1}')), (F.col("event_id") % 5).cast("int"))
+    return table(spark, sf_dir, "events").select("event_id", text.parse_cell(stored).alias("cell"))
+
+
+@query("title_case", f"SELECT conv_id, CASE WHEN conv_id % 2 = 1 THEN 'Own title' ELSE CASE WHEN length(t) > 72 THEN rtrim(substr(t, 1, 69)) || '...' ELSE t END END AS title FROM (SELECT conv_id, {_TITLE_SQL} AS t FROM conversations WHERE turn = 0)")
+def title_case(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "conversations").where("turn = 0")
+    own = F.when(F.col("conv_id") % 2 == 1, "Own title").otherwise("New chat")
+    return c.select("conv_id", text.titled(own, F.col("text")).alias("title"))
+
+
+@query("snap_version", CELLS_SQL + """SELECT row_id, CASE WHEN prompt_version = 1 AND row_id::BIGINT % 4 = 0 AND row_id NOT IN (SELECT row_id FROM cells WHERE prompt_version = 2) THEN 2 ELSE prompt_version END AS prompt_version FROM cells""")
+def snap_version(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quarter of the first version's cells turn out to be another model's."""
+    c = cells(spark, sf_dir)
+    c = c.withColumn("model", F.when((F.col("prompt_version") == 1) & (F.col("row_id").cast("long") % 4 == 0), "model-b").otherwise(F.col("model")))
+    return store.move_cells(c, "big", 1, 2, "model-b").select("row_id", "prompt_version")
+
+
+@query("sort_by_column", CELLS_SQL + """SELECT id, big, rn FROM (SELECT c_custkey AS id, (v.value = 'true') AS big, row_number() OVER (ORDER BY (v.value = 'true') DESC NULLS LAST, c_custkey) AS rn
+FROM customer LEFT JOIN (SELECT row_id, value FROM cells WHERE prompt_version = 1) v ON v.row_id = c_custkey::VARCHAR WHERE v.value IS NOT NULL) WHERE rn <= 60""")
+def sort_by_column(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page sorted and filtered by a computed column, as by any other field."""
+    from quillstone.operators import filters as q
+    from quillstone.operators.search import Table
+
+    base = Table(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id")), q.catalog(q.Field("id", "integer")), "id")
+    t = base.with_cells(cells(spark, sf_dir).where("prompt_version = 1"), "big", q.Field("big", "boolean"))
+    return t.page(q.FilterSpec((q.Exists("big"),), sort=("big", "desc")), 60).select("id", "big", F.col("rn").cast("long").alias("rn"))
+
+
+@query("embed", "SELECT doc_id, length(text)::FLOAT AS size, (ascii(substr(text, 1, 1)) % 7)::FLOAT AS first FROM documents")
+def embed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With a stand-in for a model: the length, and the first letter."""
+    out = run.embed(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", lambda texts: [[len(t), ord(t[0]) % 7] for t in texts])
+    return out.select("doc_id", F.get("embedding", F.lit(0)).alias("size"), F.get("embedding", F.lit(1)).alias("first"))
