@@ -9,7 +9,7 @@ queue costs the same per merge however long the pre-token is.
 from __future__ import annotations
 
 import base64
-from collections.abc import Mapping
+from collections.abc import Iterable, Iterator, Mapping
 from functools import lru_cache
 from heapq import heappop, heappush
 
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from quillstone.llm.common import without
 
 #: Distinct pre-tokens that a Python worker remembers with their ids.
-REMEMBERED = 1_000_000
+REMEMBERED = 500_000
 #: Bits of a bitmap word; Python's integers can be as wide as that.
 SHIFT = 8
 WORD, MASK = 1 << SHIFT, (1 << SHIFT) - 1
@@ -30,39 +30,71 @@ WORD, MASK = 1 << SHIFT, (1 << SHIFT) - 1
 class RankQueue:
     """Places by merge rank. A bit of a word in low: the rank has a bucket; a bit of top: the word has bits.
 
-    merge() works on the parts itself, for speed; they are empty again when it ends.
+    A bucket is one place, or a heap of several; -1 if empty. drain() works through a pre-token with the
+    queue's parts in local names: Python's calls would cost more than the queue.
     """
 
     def __init__(self, ranks: int):
-        self.top = 0
         self.low = [0] * (ranks // WORD + 1)
-        self.buckets: list[list[int] | None] = [None] * ranks
-
-    def push(self, rank: int, place: int) -> None:
-        bucket = self.buckets[rank]
-        if bucket is None:
-            self.buckets[rank] = [place]
-            self.low[rank >> SHIFT] |= 1 << (rank & MASK)
-            self.top |= 1 << (rank >> SHIFT)
-        else:
-            heappush(bucket, place)
-
-    def lowest(self) -> int:
-        """The lowest rank that has entries, or -1: the first set bits, level by level."""
-        top = self.top
-        if not top:
-            return -1
-        i = (top & -top).bit_length() - 1
-        word = self.low[i]
-        return i << SHIFT | (word & -word).bit_length() - 1
-
-    def close(self, rank: int) -> None:
-        """Forget an empty bucket."""
-        self.buckets[rank] = None
-        i = rank >> SHIFT
-        word = self.low[i] = self.low[i] ^ (1 << (rank & MASK))
-        if not word:
-            self.top ^= 1 << i
+        self.buckets: list[int | list[int]] = [-1] * ranks
+        self.bit = [1 << i for i in range(max(WORD, len(self.low)))]
+
+    def drain(self, piece: bytes, rank_of) -> list[int]:
+        """Ends of the pieces that are left when no pair of neighbours has a rank. after[i]: end of the piece
+        that starts at i; before[i]: start of the one on its left; waits[i]: rank of the pair at i."""
+        n, low, buckets, bit, top = len(piece), self.low, self.buckets, self.bit, 0
+        after, before, waits = list(range(1, n + 1)), list(range(-1, n - 1)), [-1] * n
+        new = [(i, r) for i in range(n - 1) if (r := rank_of(piece[i : i + 2], -1)) >= 0]
+        for i, r in new:
+            waits[i] = r
+        while True:
+            for i, r in new:
+                bucket = buckets[r]
+                if bucket.__class__ is list:
+                    heappush(bucket, i)
+                elif bucket >= 0:
+                    buckets[r] = [bucket, i] if bucket < i else [i, bucket]
+                else:
+                    buckets[r] = i
+                    at = r >> SHIFT
+                    low[at] |= bit[r & MASK]
+                    top |= bit[at]
+            if not top:
+                return after
+            # find first set, in the upper level and then in its word
+            at = (top & -top).bit_length() - 1
+            word = low[at]
+            spot = word & -word
+            rank = at << SHIFT | spot.bit_length() - 1
+            bucket = buckets[rank]
+            if bucket.__class__ is list:
+                i = heappop(bucket)
+                if len(bucket) == 1:
+                    buckets[rank] = bucket[0]
+            else:
+                i = bucket
+                buckets[rank] = -1
+                low[at] = word ^ spot
+                if word == spot:
+                    top ^= bit[at]
+            new = []
+            if waits[i] != rank:
+                continue  # stale
+            j = after[i]
+            waits[j] = -1
+            end = after[i] = after[j]
+            if end < n:
+                before[end] = i
+                waits[i] = r = rank_of(piece[i : after[end]], -1)
+                if r >= 0:
+                    new.append((i, r))
+            else:
+                waits[i] = -1
+            if i:
+                h = before[i]
+                waits[h] = r = rank_of(piece[h:end], -1)
+                if r >= 0:
+                    new.append((h, r))
 
 
 class Vocabulary:
@@ -82,53 +114,12 @@ class Vocabulary:
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one pre-token."""
-        ranks = self.ranks
-        whole = ranks.get(piece)
+        whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
-        n, q, get = len(piece), self.queue, ranks.get
-        push, buckets, low = q.push, q.buckets, q.low
-        # pieces start at i and end at after[i]; before[i] starts the one on the left; waits[i]: rank of the pair that starts at i
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        waits = [get(piece[i : i + 2], -1) for i in range(n - 1)]
-        waits.append(-1)
-        for i, r in enumerate(waits):
-            if r >= 0:
-                push(r, i)
-        while top := q.top:
-            # find first set, in the upper level and then in its word
-            at = (top & -top).bit_length() - 1
-            word = low[at]
-            rank = at << SHIFT | (word & -word).bit_length() - 1
-            bucket = buckets[rank]
-            lower = False  # a merge can bring up a lower rank, which then comes first
-            while bucket and not lower:
-                i = bucket.pop() if len(bucket) == 1 else heappop(bucket)
-                if waits[i] != rank:
-                    continue  # stale
-                j = after[i]
-                waits[j] = -1
-                end = after[i] = after[j]
-                if end < n:
-                    before[end] = i
-                    waits[i] = r = get(piece[i : after[end]], -1)
-                    if r >= 0:
-                        push(r, i)
-                        lower = r < rank
-                else:
-                    waits[i] = -1
-                if i:
-                    h = before[i]
-                    waits[h] = r = get(piece[h:end], -1)
-                    if r >= 0:
-                        push(r, h)
-                        if r < rank:
-                            lower = True
-            if not bucket:
-                q.close(rank)
-        out, i = [], 0
-        while i < n:
-            out.append(ranks[piece[i : after[i]]])
+        after, out, i = self.queue.drain(piece, self.ranks.get), [], 0
+        while i < len(piece):
+            out.append(self.ranks[piece[i : after[i]]])
             i = after[i]
         return out
 
@@ -169,13 +160,34 @@ def vocabulary(path: str, pattern: str) -> Vocabulary:
     return Vocabulary(read_ranks(path), pattern)
 
 
+def _joined(pieces: Iterable[bytes]) -> tuple[np.ndarray, bytearray]:
+    """Pieces after one another, and where each ends, without a list of them in between."""
+    data, ends = bytearray(), [0]
+    for p in pieces:
+        data += p
+        ends.append(len(data))
+    return np.array(ends, np.int64), data
+
+
+def _texts(batch: pa.Array) -> Iterator[str]:
+    for at in range(0, len(batch), 500):
+        for t in batch.slice(at, 500).to_pylist():
+            yield t or ""
+
+
+def _binary(pieces: Iterable[bytes]) -> pa.Array:
+    ends, data = _joined(pieces)
+    if len(data) >= 1 << 31:
+        raise ValueError("a batch of more than 2 GB; lower spark.sql.execution.arrow.maxRecordsPerBatch")
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data)])
+
+
 def encode(text: Column, path: str, pattern: str) -> Column:
     """Ids of a text as little-endian unsigned 32-bit integers in a binary; null and empty texts have none."""
 
     @F.arrow_udf("binary")
-    def ids(texts: pa.Array) -> pa.Array:
-        v = vocabulary(path, pattern)
-        return pa.array([v.encode(t or "") for t in texts.to_pylist()], pa.binary())
+    def ids(batch: pa.Array) -> pa.Array:
+        return _binary(map(vocabulary(path, pattern).encode, _texts(batch)))
 
     return ids(text)
 
@@ -186,7 +198,7 @@ def decode(ids: Column, path: str, pattern: str) -> Column:
     @F.arrow_udf("binary")
     def out(batch: pa.Array) -> pa.Array:
         v = vocabulary(path, pattern)
-        return pa.array([v.decode(i.as_buffer()) if i.is_valid else b"" for i in batch], pa.binary())
+        return _binary(v.decode(i.as_buffer()) if i.is_valid else b"" for i in batch)
 
     return out(ids)
 
@@ -195,11 +207,9 @@ def encode_array(text: Column, path: str, pattern: str) -> Column:
     """Ids of a text as an array of int; null and empty texts have none."""
 
     @F.arrow_udf("array<int>")
-    def ids(texts: pa.Array) -> pa.Array:
-        v = vocabulary(path, pattern)
-        parts = [v.encode(t or "") for t in texts.to_pylist()]
-        ends = np.cumsum([0] + [len(p) // 4 for p in parts], dtype=np.int32)
-        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(parts), "<i4")))
+    def ids(batch: pa.Array) -> pa.Array:
+        ends, data = _joined(map(vocabulary(path, pattern).encode, _texts(batch)))
+        return pa.ListArray.from_arrays(pa.array((ends // 4).astype(np.int32)), pa.array(np.frombuffer(data, "<i4")))
 
     return ids(text)
 
