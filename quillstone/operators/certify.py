@@ -37,26 +37,39 @@ class Procedure:
             raise ValueError(f"no bound {self.bound}; a betting bound needs the flips' order, see evaluate.betting_replay")
 
 
-def ranked(cells: DataFrame, order: list[Column]) -> DataFrame:
-    """cells (stratum, row_id, flip) with place (from 1) in the stratum's order and flips up to there."""
-    by = Window.partitionBy("stratum").orderBy(*order)
-    upto = by.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return cells.withColumn("place", F.row_number().over(by).cast("long")).withColumn("flips", F.sum(F.coalesce("flip", F.lit(1))).over(upto))
+#: Cells of a stratum that one task ranks.
+SPREAD = 500_000
 
 
-def looks_of(spark: SparkSession, sizes: dict[str, int], p: Procedure) -> DataFrame:
-    """A row for each look of each stratum; as many as strata times looks."""
+def ranked(cells: DataFrame, order: list[Column], most: int, size: int = 0) -> DataFrame:
+    """The first cells (stratum, row_id, flip) of each stratum's order, most at most, with place (from 1) and
+    the flips up to there. size: cells of the largest stratum; a large one is first dealt to several
+    tasks, of which each passes on the first of its own."""
+    if size > SPREAD:
+        deal = F.pmod(F.xxhash64("row_id"), F.lit(1 + size // SPREAD))
+        first = F.row_number().over(Window.partitionBy("stratum", "__deal").orderBy(*order))
+        cells = cells.withColumn("__deal", deal).withColumn("__first", first).where(F.col("__first") <= most).drop("__deal", "__first")
+    places = cells.withColumn("place", F.row_number().over(Window.partitionBy("stratum").orderBy(*order))).where(F.col("place") <= most)
+    upto = Window.partitionBy("stratum").orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return places.withColumn("flips", F.sum(F.coalesce("flip", F.lit(1))).over(upto))
+
+
+def plan_looks(sizes: dict[str, int], p: Procedure) -> list[tuple]:
+    """(stratum, size, look, n, k_max) of each look of each stratum."""
     if p.adaptive:
-        rows = [(s, sizes[s], i, n, k) for s, i, n, k in bounds.looks_table(sizes, p.alpha, p.delta, p.first, p.most, p.bound, p.reuse_set)]
-    else:
-        rows = []
-        for s, size in sizes.items():
-            n = bounds.plan_fixed(size, p.alpha, p.delta, len(sizes))
-            limit = p.alpha * (size - n) / size if p.reuse_set else p.alpha
-            f, d = bounds.BOUNDS[p.bound], p.delta / len(sizes)
-            top = max((k for k in range(n + 1) if f(k, n, size, d) <= limit), default=-1)
-            rows.append((s, size, 1, n, top))
-    return spark.createDataFrame(rows, LOOKS)
+        return [(s, sizes[s], i, n, k) for s, i, n, k in bounds.looks_table(sizes, p.alpha, p.delta, p.first, p.most, p.bound, p.reuse_set)]
+    rows = []
+    for s, size in sizes.items():
+        n = bounds.plan_fixed(size, p.alpha, p.delta, len(sizes))
+        limit = p.alpha * (size - n) / size if p.reuse_set else p.alpha
+        f, d = bounds.BOUNDS[p.bound], p.delta / len(sizes)
+        rows.append((s, size, 1, n, max((k for k in range(n + 1) if f(k, n, size, d) <= limit), default=-1)))
+    return rows
+
+
+def looks_of(spark: SparkSession, plan: list[tuple]) -> DataFrame:
+    """A row for each look of each stratum; as many as strata times looks."""
+    return spark.createDataFrame(plan, LOOKS)
 
 
 def decide(ranks: DataFrame, looks: DataFrame, alpha: float, extra: tuple[str, ...] = ()) -> DataFrame:
@@ -82,21 +95,34 @@ def replay(cells: DataFrame, p: Procedure, order: str = "hash") -> DataFrame:
 
     order: "hash" (a hash of seed and id) or "replay" (a shuffle of each stratum).
     """
-    looks = looks_of(cells.sparkSession, strata_sizes(cells), p)
+    sizes = strata_sizes(cells)
+    plan, size = plan_looks(sizes, p), max(sizes.values(), default=0)
+    most = max((r[3] for r in plan), default=0)
     if order == "replay":
-        places = replay_order(cells, lambda s: p.seed)
-        ranks = ranked(cells.join(places.withColumnRenamed("stratum", "s2"), "row_id"), [F.col("place")])
+        places = replay_order(cells, lambda s: p.seed).withColumnRenamed("stratum", "s2").withColumnRenamed("place", "at")
+        ranks = ranked(cells.join(places, "row_id"), [F.col("at")], most, size)
     else:
-        ranks = ranked(cells, hash_order(p.seed, F.col("row_id")))
-    return decide(ranks, looks, p.alpha)
+        ranks = ranked(cells, hash_order(p.seed, F.col("row_id")), most, size)
+    return decide(ranks, looks_of(cells.sparkSession, plan), p.alpha)
+
+
+def _fates(cells: DataFrame, drawn: DataFrame, decisions: DataFrame) -> DataFrame:
+    """cells with fate. drawn: row_id and fresh of the rows that were sampled, fresh null where the oracle
+    failed."""
+    d = F.broadcast(decisions.select(F.col("stratum").alias("s"), "certified"))
+    seen = drawn.select(F.col("row_id").alias("__r"), F.col("fresh").alias("__fresh"), F.lit(True).alias("__drawn"))
+    out = cells.join(seen, F.col("row_id") == F.col("__r"), "left").join(d, F.col("stratum") == F.col("s"))
+    fate = F.when(F.col("__drawn") & F.col("__fresh").isNotNull(), "sampled").when(F.col("__drawn").isNull() & F.col("certified"), "reuse").otherwise("recompute")
+    return out.withColumn("fate", fate)
 
 
 def partition_cells(cells: DataFrame, decisions: DataFrame, p: Procedure) -> DataFrame:
     """cells with fate: sampled, reuse or recompute. Sampled rows without a fresh value are recomputed."""
-    ranks = ranked(cells, hash_order(p.seed, F.col("row_id")))
-    d = F.broadcast(decisions.select(F.col("stratum").alias("s"), F.col("n").alias("drawn"), "certified"))
-    fate = F.when((F.col("place") <= F.col("drawn")) & F.col("flip").isNotNull(), "sampled").when((F.col("place") > F.col("drawn")) & F.col("certified"), "reuse").otherwise("recompute")
-    return ranks.join(d, F.col("stratum") == F.col("s")).select(*cells.columns, fate.alias("fate"))
+    known = decisions.agg(F.max("n"), F.max("size")).first()
+    ranks = ranked(cells, hash_order(p.seed, F.col("row_id")), known[0] or 0, known[1] or 0)
+    d = F.broadcast(decisions.select(F.col("stratum").alias("s"), F.col("n").alias("last")))
+    drawn = ranks.join(d, F.col("stratum") == F.col("s")).where("place <= last").select("row_id", F.col("flip").alias("fresh"))
+    return _fates(cells, drawn, decisions).select(*cells.columns, "fate")
 
 
 @dataclass
@@ -118,12 +144,12 @@ def certify_live(cached: DataFrame, oracle: Callable[[DataFrame], DataFrame], p:
     keep = keep or (lambda df, name: df.checkpoint())
     cells = keep(stratify(cached).select("row_id", "value", "stratum"), "cells")
     sizes = strata_sizes(cells)
-    looks = looks_of(cells.sparkSession, sizes, p)
-    by = Window.partitionBy("stratum").orderBy(*hash_order(p.seed, F.col("row_id")))
-    ranks = keep(cells.withColumn("place", F.row_number().over(by).cast("long")), "ranks")
+    looks = plan_looks(sizes, p)
+    ranks = ranked(cells.withColumn("flip", F.lit(None).cast("int")), hash_order(p.seed, F.col("row_id")), max((r[3] for r in looks), default=0), max(sizes.values(), default=0))
+    ranks = keep(ranks.select("row_id", "value", "stratum", "place"), "ranks")
     plan: dict[str, list] = {}
-    for r in looks.orderBy("stratum", "look").collect():
-        plan.setdefault(r["stratum"], []).append(r)
+    for s, _, _, n, k in looks:
+        plan.setdefault(s, []).append({"n": n, "k_max": k})
     open_, answers, calls, decided, log = dict.fromkeys(plan, 0), None, 0, {}, []
     for i in range(max(map(len, plan.values()), default=0)):
         step = [(s, int(plan[s][i - 1]["n"] if i else 0), int(plan[s][i]["n"])) for s in open_ if s not in decided and i < len(plan[s])]
@@ -143,11 +169,8 @@ def certify_live(cached: DataFrame, oracle: Callable[[DataFrame], DataFrame], p:
             if sure or futile or i + 1 == len(plan[s]):
                 decided[s] = (s, sizes[s], i + 1, n, k, sure, futile)
     decisions = cells.sparkSession.createDataFrame(list(decided.values()), "stratum string, size long, look int, n long, flips long, certified boolean, futile boolean")
-    fresh = answers.select("row_id", "fresh") if answers is not None else cells.select("row_id", F.lit(None).cast("string").alias("fresh")).limit(0)
-    d = F.broadcast(decisions.select(F.col("stratum").alias("s"), F.col("n").alias("drawn"), "certified"))
-    joined = ranks.join(fresh, "row_id", "left").join(d, F.col("stratum") == F.col("s"))
-    fate = F.when((F.col("place") <= F.col("drawn")) & F.col("fresh").isNotNull(), "sampled").when((F.col("place") > F.col("drawn")) & F.col("certified"), "reuse").otherwise("recompute")
-    return Outcome(decisions, joined.select("row_id", "stratum", "value", "fresh", fate.alias("fate")), calls, log)
+    drawn = answers.select("row_id", "fresh") if answers is not None else cells.select("row_id", F.lit(None).cast("string").alias("fresh")).limit(0)
+    return Outcome(decisions, _fates(cells, drawn, decisions).select("row_id", "stratum", "value", F.col("__fresh").alias("fresh"), "fate"), calls, log)
 
 
 def default_seed(column_id: str, old: int, new: int) -> int:

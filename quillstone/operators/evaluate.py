@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillstone.functions import bounds
-from quillstone.operators.certify import Procedure, decide, looks_of, strata_sizes
+from quillstone.operators.certify import Procedure, decide, looks_of, plan_looks, strata_sizes
+from quillstone.operators.ranks import nearest_ranks
+from quillstone.operators.tables import running
 
 
 # labels
@@ -52,10 +54,13 @@ def replications(cells: DataFrame, p: Procedure, seeds: DataFrame) -> DataFrame:
     cells: stratum, row_id, flip; seeds: seed. Orders are hashes of seed and id, so any engine can
     check them; cells times seeds rows are ranked. For many seeds on large strata, see monte_carlo.
     """
-    looks = looks_of(cells.sparkSession, strata_sizes(cells), p)
+    plan = plan_looks(strata_sizes(cells), p)
+    looks = looks_of(cells.sparkSession, plan)
     each = cells.crossJoin(F.broadcast(seeds))
     by = Window.partitionBy("seed", "stratum").orderBy(F.md5(F.concat(F.col("seed").cast("string"), F.lit(":"), F.col("row_id").cast("string"))), "row_id")
-    ranks = each.withColumn("place", F.row_number().over(by).cast("long")).withColumn("flips", F.sum("flip").over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    ranks = each.withColumn("place", F.row_number().over(by)).where(F.col("place") <= max((r[3] for r in plan), default=0))
+    upto = Window.partitionBy("seed", "stratum").orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranks = ranks.withColumn("flips", F.sum("flip").over(upto))
     stops = decide(ranks, looks, p.alpha, ("seed",))
     whole = cells.groupBy(F.col("stratum").alias("s")).agg(F.sum("flip").alias("all_flips"))
     rows = stops.join(F.broadcast(whole), F.col("stratum") == F.col("s"))
@@ -113,7 +118,8 @@ def betting_replay(cells: DataFrame, p: Procedure) -> DataFrame:
     spark = cells.sparkSession
     last = F.broadcast(spark.createDataFrame([(s, ns[-1]) for s, ns in plan.items()], "s string, last long"))
     by = Window.partitionBy("stratum").orderBy(F.md5(F.concat(F.lit(f"{p.seed}:"), F.col("row_id").cast("string"))), "row_id")
-    drawn = cells.withColumn("place", F.row_number().over(by)).join(last, F.col("stratum") == F.col("s")).where("place <= last")
+    most = max((ns[-1] for ns in plan.values()), default=0)
+    drawn = cells.withColumn("place", F.row_number().over(by)).where(F.col("place") <= most).join(last, F.col("stratum") == F.col("s")).where("place <= last")
     alpha, level, reuse_set = p.alpha, p.delta / max(1, len(sizes)), p.reuse_set
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -193,12 +199,10 @@ def baselines(cells: DataFrame) -> DataFrame:
 
 def auc(rows: DataFrame, score: str, label: str, tie: str, midranks: bool = False) -> DataFrame:
     """Rank AUC of a score for a 0/1 label; ties by another column, or by mid-ranks. 0.5 if one class is
-    absent. Ranks come from counts of each score, so only distinct scores are ordered."""
-    by = rows.groupBy(score) if midranks else rows.groupBy(score, tie)
-    n = by.agg(F.count("*").alias("n"), F.sum(label).alias("pos"))
-    order = Window.orderBy(score) if midranks else Window.orderBy(score, tie)
-    upto = F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    ranks = n.withColumn("rank_sum", F.col("pos") * (upto - (F.col("n") - 1) / 2))
+    absent. Ranks are counted over range partitions."""
+    keys = [score] if midranks else [score, tie]
+    n = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(label).alias("pos"))
+    ranks = running(n, [], [F.col(k).asc() for k in keys], F.col("n"), "before").withColumn("rank_sum", F.col("pos") * (F.col("before") + (F.col("n") + 1) / 2))
     s = ranks.agg(F.sum("pos").alias("p"), F.sum("n").alias("n"), F.sum("rank_sum").alias("r"))
     return s.select(F.when((F.col("p") > 0) & (F.col("p") < F.col("n")), (F.col("r") - F.col("p") * (F.col("p") + 1) / 2) / (F.col("p") * (F.col("n") - F.col("p")))).otherwise(0.5).alias("auc"))
 
@@ -275,9 +279,10 @@ def block_dispersion(rows: DataFrame, order: Sequence[str], flip: str, part: Seq
 
 
 def latency_split(rows: DataFrame, latency: str, flip: str, tie: str) -> DataFrame:
-    """Flips in the faster and in the slower half."""
-    half = F.ntile(2).over(Window.orderBy(latency, tie))
-    return rows.withColumn("slower", half == 2).groupBy("slower").agg(F.count("*").alias("n"), F.sum(flip).alias("flips"))
+    """Flips in the faster and in the slower half; the middle one of an odd number is among the faster."""
+    places = running(rows.select(latency, tie, flip), [], [F.col(latency).asc(), F.col(tie).asc()], F.lit(1), "place")
+    n = F.broadcast(rows.agg(F.count("*").alias("all")))
+    return places.crossJoin(n).groupBy((F.col("place") >= F.ceil(F.col("all") / 2)).alias("slower")).agg(F.count("*").alias("n"), F.sum(flip).alias("flips"))
 
 
 def permutation_p(values: np.ndarray, observed: float, statistic, permutations: int = 2000, seed: int = 1) -> float:
@@ -287,10 +292,10 @@ def permutation_p(values: np.ndarray, observed: float, statistic, permutations:
     return (hits + 1) / (permutations + 1)
 
 
-def calibration_sample(rows: DataFrame, part: Sequence[str], n: Column, seed: int, id_col: str) -> DataFrame:
-    """A seeded sample of n rows (a Column) from each part."""
+def calibration_sample(rows: DataFrame, part: Sequence[str], n: Column, seed: int, id_col: str, most: int = 1000) -> DataFrame:
+    """A seeded sample of n rows (a Column, most at most) from each part. A task keeps most rows of a part."""
     w = Window.partitionBy(*part).orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string"))), id_col)
-    return rows.withColumn("place", F.row_number().over(w)).where(F.col("place") <= n)
+    return rows.withColumn("place", F.row_number().over(w)).where(F.col("place") <= most).where(F.col("place") <= n)
 
 
 def deflated_alpha(alpha: float, missed: int, judged: int, level: float = 0.05) -> float:
@@ -333,13 +338,8 @@ def exclusion_check(rows: DataFrame, dropped: str, flip: str) -> DataFrame:
 
 
 def median_nearest(rows: DataFrame, value: str) -> DataFrame:
-    """The value at place n/2 of the order, not an average of two; no task sorts all rows."""
-    from quillstone.plans.ranks import upto
-
-    counts = rows.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("m"))
-    n = counts.agg(F.sum("m").alias("n"))
-    last = upto(counts, value, "m").crossJoin(F.broadcast(n))
-    return last.agg(F.min(F.when(F.col("upto") > F.floor(F.col("n") / 2), F.col(value))).alias("median"))
+    """The value at place n/2 of the order, not an average of two."""
+    return nearest_ranks(rows, value, [("median", 0.5)])
 
 
 def drift_summary(a: DataFrame, b: DataFrame) -> DataFrame:

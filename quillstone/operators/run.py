@@ -9,7 +9,6 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from quillstone.functions.text import bind_text, content_hash, token_estimate
 from quillstone.operators.cells import cache_probe
@@ -87,7 +86,8 @@ def embed(df: DataFrame, text_col: str, model: Callable[[list[str]], list[list[f
 
 def dedupe(work: DataFrame) -> DataFrame:
     """work (row_id, row_content_hash, ...) with computes: true for the smallest row id of each content."""
-    return work.withColumn("computes", F.row_number().over(Window.partitionBy("row_content_hash").orderBy("row_id")) == 1)
+    first = work.groupBy(F.col("row_content_hash").alias("__h")).agg(F.min("row_id").alias("__first"))
+    return work.join(first, F.col("row_content_hash") == F.col("__h")).withColumn("computes", F.col("row_id") == F.col("__first")).drop("__h", "__first")
 
 
 def valid(spec: Output) -> Column:

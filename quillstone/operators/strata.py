@@ -6,9 +6,9 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from quillstone.functions.text import STOP_WORDS, overlap_bucket, overlap_score
+from quillstone.operators.ranks import nearest_ranks
 
 Stratifier = Callable[[DataFrame], DataFrame]
 
@@ -30,23 +30,13 @@ def lexical(terms: Sequence[str], stop: Sequence[str] = STOP_WORDS) -> Stratifie
 def tertiles(score: str, id_col: str = "row_id") -> Stratifier:
     """By cached value and tertile of a score; a cut point belongs to the lower tertile.
 
-    The cut points are the scores at places n/3 and 2n/3 of the whole order, found from two
-    quantiles' ranks rather than by sorting everything into one task: the order is range-partitioned.
+    The cut points are the scores at places n/3 and 2n/3 of the whole order, counted over range partitions.
     """
 
     def run(cells: DataFrame) -> DataFrame:
-        n = cells.count()
-        if not n:
-            return cells.withColumn("stratum", F.lit(None).cast("string"))
-        cuts = []
-        counts = cells.groupBy(F.col(score).alias("s")).agg(F.count("*").alias("n"))
-        parts = counts.repartitionByRange("s").withColumn("p", F.spark_partition_id()).persist()
-        sums = parts.groupBy("p").agg(F.sum("n").alias("t")).withColumn("before", F.sum("t").over(Window.orderBy("p")) - F.col("t"))
-        upto = parts.join(F.broadcast(sums), "p").withColumn("last", F.col("before") + F.sum("n").over(Window.partitionBy("p").orderBy("s")))
-        for place in (n // 3, 2 * n // 3):
-            cuts.append(upto.where(F.col("last") > place).agg(F.min("s")).first()[0])
-        parts.unpersist()
-        bucket = F.when(F.col(score) <= F.lit(cuts[0]), "low").when(F.col(score) <= F.lit(cuts[1]), "mid").otherwise("high")
+        # a third is written so that n times it never falls short of the whole number it should be
+        cuts = nearest_ranks(cells, score, [("a", 1 / 3 + 1e-15), ("b", 2 / 3 + 1e-15)]).first()
+        bucket = F.when(F.col(score) <= F.lit(cuts.a), "low").when(F.col(score) <= F.lit(cuts.b), "mid").otherwise("high")
         return cells.withColumn("stratum", key(F.col("value"), bucket))
 
     return run

@@ -194,14 +194,7 @@ def monte_carlo(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT max(value) FILTER (i = floor(0.025 * n)) AS low, max(value) FILTER (i = floor(0.5 * n)) AS p50, max(value) FILTER (i = floor(0.975 * n)) AS high FROM r""")
 def percentile_pi(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nearest-rank percentiles of all values, without sorting them in one task."""
-    e = table(spark, sf_dir, "events")
-    n = e.agg(F.count("*").alias("n"))
-    counts = e.groupBy("value").agg(F.count("*").alias("m"))
-    from quillstone.plans.ranks import upto
-
-    last = upto(counts, "value", "m").crossJoin(F.broadcast(n))
-    at = lambda f: F.min(F.when(F.col("upto") > F.floor(F.lit(f) * F.col("n")), F.col("value")))
-    return last.agg(at(0.025).alias("low"), at(0.5).alias("p50"), at(0.975).alias("high"))
+    return evaluate.nearest_ranks(table(spark, sf_dir, "events"), "value", [("low", 0.025), ("p50", 0.5), ("high", 0.975)])
 
 
 @query("bounds_table", f"""WITH g AS (SELECT n, size, k, 0.1 / 12 AS delta FROM (SELECT unnest([45, 90, 180]) AS n) CROSS JOIN (SELECT unnest([600, 1800]) AS size) CROSS JOIN (SELECT unnest([0, 1, 5]) AS k)),
@@ -376,7 +369,7 @@ def label_export(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("path_replay", f"WITH {_cells_sql('other')} SELECT stratum, n, sum(flip)::BIGINT AS flips FROM (SELECT stratum, flip, row_number() OVER (PARTITION BY stratum ORDER BY md5('42:' || row_id::VARCHAR), row_id) AS place FROM cells) JOIN (SELECT unnest([45, 90, 180]) AS n) ON place <= n GROUP BY stratum, n HAVING max(place) = n")
 def path_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Looks recorded twice come to one path."""
-    r = certify.ranked(event_cells(spark, sf_dir, "other"), rng.hash_order(42, F.col("row_id"))).where(F.col("place").isin(45, 90, 180)).select("stratum", F.col("place").cast("int").alias("n"), F.col("flips").cast("long").alias("flips"))
+    r = certify.ranked(event_cells(spark, sf_dir, "other"), rng.hash_order(42, F.col("row_id")), 180).where(F.col("place").isin(45, 90, 180)).select("stratum", F.col("place").cast("int").alias("n"), F.col("flips").cast("long").alias("flips"))
     return evaluate.path_replay(r.unionByName(r))
 
 

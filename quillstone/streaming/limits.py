@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.window import Window
 
+from quillstone.operators.tables import running
+
 LIMIT, SECONDS = 25, 3600
 
 
@@ -18,12 +20,11 @@ def window_start(ts: Column, seconds: int = SECONDS) -> Column:
 
 def limited(requests: DataFrame, key: str, ts: str = "ts", tie: str = "event_id", limit: int = LIMIT, seconds: int = SECONDS) -> DataFrame:
     """requests with their number n in the key's window, whether rejected, and then after how many
-    seconds to try again."""
+    seconds to try again. Numbers are counted over range partitions: one key may send most requests."""
     rows = requests.withColumn("window_start", window_start(F.col(ts), seconds))
-    w = Window.partitionBy(key, "window_start").orderBy(ts, tie)
-    n = F.row_number().over(w)
+    numbered = running(rows, [key, "window_start"], [F.col(ts).asc(), F.col(tie).asc()], F.lit(1), "n").withColumn("n", F.col("n") + 1)
     over = F.col("n") > limit
-    return rows.withColumn("n", n).withColumn("rejected", over).withColumn("retry_after", F.when(over, F.col("window_start") + seconds - F.unix_seconds(F.col(ts).cast("timestamp"))))
+    return numbered.withColumn("rejected", over).withColumn("retry_after", F.when(over, F.col("window_start") + seconds - F.unix_seconds(F.col(ts).cast("timestamp"))))
 
 
 def window_counts(requests: DataFrame, key: str, ts: str = "ts", seconds: int = SECONDS, watermark: str | None = None) -> DataFrame:

@@ -83,6 +83,13 @@ def test_strata(spark):
         Procedure(bound="betting")
 
 
+def test_large_strata_are_dealt_out(spark, monkeypatch):
+    df = cells(spark, ("a", 3000, 100), ("b", 900, 200))
+    want = sorted(map(tuple, certify.replay(df, Procedure()).collect()))
+    monkeypatch.setattr(certify, "SPREAD", 200)
+    assert sorted(map(tuple, certify.replay(df, Procedure()).collect())) == want
+
+
 def test_fixed_plan(spark):
     df = cells(spark, ("a", 3000, 20), ("b", 900, 300))
     got = {r.stratum: (r["n"], r.certified) for r in certify.replay(df, Procedure(adaptive=False)).collect()}
