@@ -209,7 +209,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     words, toxic, other = (lexicon.column(i).to_numpy() for i in range(3))
     order = np.argsort(words.astype(np.int64).view(np.uint64))
     f.words, f.toxic, f.other = words.astype(np.int64).view(np.uint64)[order], toxic[order], other[order]
-    pick = rows.withColumn("__h", F.xxhash64("__id", F.lit("sample"))).orderBy("__h", "__id").limit(sample_rows)
+    # somewhat more than the sample by a cut on the hash alone, so that no task sorts more than that
+    pick = rows.withColumn("__h", F.xxhash64("__id", F.lit("sample")))
+    if nt + nc > 1.5 * sample_rows:
+        pick = pick.where(F.shiftrightunsigned("__h", 1) < F.lit(int(1.2 * sample_rows / (nt + nc) * (1 << 63))))
+    pick = pick.orderBy("__h", "__id").limit(sample_rows)
     sample = pick.repartition(WORKERS, "__h")
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
