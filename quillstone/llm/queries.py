@@ -165,7 +165,7 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tables hold no sound, so each embedding is played as a melody; ids divisible by 100 are searched for."""
     rows = table(spark, sf_dir, "embeddings")
-    prints = materialize(media.fingerprints(rows.select("vec_id", media.render(F.col("embedding")).alias("audio")), F.col("audio")).drop("audio"), "prints")
+    prints = materialize(media.fingerprints(rows, F.col("embedding"), media.melody).select("vec_id", "bits", "sound", "digest"), "prints")
     pairs = materialize(media.align(prints, F.col("vec_id") % 100 == 0, "vec_id"), "alignments")
     best = pairs.groupBy("class_id").agg(F.count("*").alias("n_links"), F.min(F.struct("bit_errors", F.col("query_class").alias("best_query"), F.col("offset").alias("best_offset"))).alias("best"))
     classes = materialize(prints.where("digest is not null").groupBy(F.col("digest").alias("d")).agg(F.min("vec_id").alias("class_id")), "classes")
