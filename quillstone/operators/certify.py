@@ -17,6 +17,7 @@ from pyspark.sql.window import Window
 from quillstone.functions import bounds
 from quillstone.functions.rng import hash_order, replay_order
 from quillstone.operators.strata import Stratifier, value_only
+from quillstone.operators.tables import materialize
 
 LOOKS = "stratum string, size long, look int, n long, k_max long"
 
@@ -139,9 +140,9 @@ def certify_live(cached: DataFrame, oracle: Callable[[DataFrame], DataFrame], p:
 
     All strata take a look together, so the driver loops over looks alone; each look's answers are
     written before they are used, and each row is asked for once. keep(df, name) writes and rereads a
-    table; by default to the folder in spark.checkpoint.dir.
+    table, by default in the shared folder.
     """
-    keep = keep or (lambda df, name: df.checkpoint())
+    keep = keep or materialize
     cells = keep(stratify(cached).select("row_id", "value", "stratum"), "cells")
     sizes = strata_sizes(cells)
     looks = plan_looks(sizes, p)

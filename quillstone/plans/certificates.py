@@ -106,7 +106,7 @@ def certify_live(spark: SparkSession, sf_dir: str) -> DataFrame:
     """With an oracle that is asked look by look; it decides as the replay does."""
     cells = event_cells(spark, sf_dir, "other")
     fresh = cells.select("row_id", F.col("fresh").alias("value"))
-    out = certify.certify_live(cells.select("row_id", "value"), lambda ask: ask.join(fresh, "row_id"), Procedure(), keep=lambda df, name: df.persist())
+    out = certify.certify_live(cells.select("row_id", "value"), lambda ask: ask.join(fresh, "row_id"), Procedure())
     return out.cells.groupBy("stratum", "fate").agg(F.count("*").alias("n"))
 
 

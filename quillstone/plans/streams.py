@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillstone.operators.tables import shared_path
 from quillstone.plans.registry import query, table
 from quillstone.streaming import limits
 
@@ -33,11 +34,8 @@ def rate_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same counts from a stream of the events table's files."""
     schema = table(spark, sf_dir, "events").schema
     stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*")
-    at = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="quillstone-stream-")
-    import uuid
-
     name = "rates_" + uuid.uuid4().hex
-    q = limits.run_counts(stream, "user_id", name, f"{at.rstrip('/')}/quillstone/{name}", limit=5, seconds=DAY)
+    q = limits.run_counts(stream, "user_id", name, shared_path(spark, name), limit=5, seconds=DAY)
     q.awaitTermination()
     return spark.table(name)
 
