@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.llm.common import without
-from quillstone.llm.words import ALL, Chains, Words, chunks
+from quillstone.llm.words import ALL, PIECE, TOGETHER, Chains, Scan, Words, chunks
 
 UNKNOWN = "und"
 #: Trigram hashes; a model has so many numbers for each language.
@@ -91,15 +91,21 @@ class Model:
         allowed[~allowed.any(axis=1)] = True  # a script of no language narrows nothing
         return cls(langs, logp.astype(np.float32), allowed)
 
-    def label(self, texts: list[str], switch: float = SWITCH) -> tuple[Words, np.ndarray]:
-        """The words of texts and each one's language number."""
-        w = Words(texts)
-        n, k = len(w.start), len(self.langs)
-        if not n or not k:
-            return w, np.zeros(n, np.uint8)
+    def scores(self, w: Words) -> np.ndarray:
+        """Each word's score in each language."""
+        if not len(w.start) or not self.langs:
+            return np.zeros((len(w.start), len(self.langs)), np.float32)
         bucket, script, begin = trigrams(w)
         score = np.add.reduceat(self.logp[bucket], begin, axis=0)
         score[~self.allowed[script[begin]]] -= 1e6
+        return score
+
+    def label(self, texts: list, switch: float = SWITCH) -> tuple[Scan, np.ndarray]:
+        """The words of texts and each one's language number."""
+        w = Scan(texts, self.scores)
+        score, n, k = w.of, len(w.doc), len(self.langs)
+        if not n or not k:
+            return w, np.zeros(n, np.uint8)
         chains, came = Chains(w.offset), np.zeros((n, k), np.uint8)
         own = np.arange(k, dtype=np.uint8)
         best = None
@@ -115,16 +121,14 @@ class Model:
             best[:m] = np.where(stay, old, jump) + score[at]
         # best keeps the last step of every chain, however long it is
         label, now = np.zeros(n, np.uint8), best.argmax(axis=1).astype(np.uint8)
-        done = 0
         for m, at in chains.backward():
-            done = max(done, m)
             label[at] = now[:m]
             now[:m] = came[at, now[:m]]
         return w, label
 
     def predict(self, texts: list, switch: float = SWITCH, spans: bool = True) -> Iterator[tuple[str, float, list]]:
         """Language, share of letters, and spans (start, end, language) in code points, for each text."""
-        for _, part in chunks(texts):
+        for _, part in chunks(texts, TOGETHER):
             w, label = self.label(part, switch)
             k = len(self.langs)
             share = np.zeros((len(part), max(1, k)))
@@ -132,7 +136,7 @@ class Model:
             top, total = share.argmax(axis=1), share.sum(axis=1)
             new = np.flatnonzero((np.diff(w.doc, prepend=-1) != 0) | (np.diff(label.astype(int), prepend=-1) != 0)) if spans else np.zeros(0, int)
             where = np.searchsorted(w.doc[new], np.arange(len(part) + 1)) if spans else None
-            last = np.append(new[1:], len(w.start)) - 1 if len(new) else new
+            last = np.append(new[1:], len(w.doc)) - 1 if len(new) else new
             for i in range(len(part)):
                 if not k or not total[i]:
                     yield UNKNOWN, 0.0, []
@@ -140,7 +144,7 @@ class Model:
                 found = []
                 if spans:
                     for a, b in zip(new[where[i] : where[i + 1]].tolist(), last[where[i] : where[i + 1]].tolist(), strict=True):
-                        found.append((int(w.start[a] - w.first[i]), int(w.start[b] + w.length[b] - w.first[i]), self.langs[label[a]]))
+                        found.append((int(w.begin[a]), int(w.begin[b] + w.length[b]), self.langs[label[a]]))
                 yield self.langs[top[i]], float(share[i, top[i]] / total[i]), found
 
 
@@ -154,7 +158,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 by.setdefault(x, []).append(t)
         for lang, texts in by.items():
             c = counts.setdefault(lang, np.zeros(BUCKETS + len(SCRIPTS) + 1, np.int64))
-            for _, part in chunks(texts):
+            for _, part in chunks(texts, PIECE):
                 bucket, script, _ = trigrams(Words(part))
                 c[:BUCKETS] += np.bincount(bucket, minlength=BUCKETS)
                 c[BUCKETS:] += np.bincount(script, minlength=len(SCRIPTS) + 1)

@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 
 from quillstone.llm import bloom
 from quillstone.llm.common import materialize, without
-from quillstone.llm.words import Chains, Words, chunks
+from quillstone.llm.words import PIECE as PIECE_CHARS
+from quillstone.llm.words import TOGETHER, Chains, Scan, Words, chunks
 
 RESULTS = ("score", "toxic_words", "spans")
 #: Rows that the field is fitted on, at most.
@@ -128,15 +129,17 @@ class Field:
             seen += g * g
             self.weights = self.weights + RATE * g / np.sqrt(seen)
 
-    def scan(self, texts: list, own: list | None = None) -> Iterator[tuple[Words, np.ndarray, int]]:
-        for at, part in chunks(texts):
-            w = Words(part)
+    def scan(self, texts: list, own: list | None = None) -> Iterator[tuple[Scan, np.ndarray, int]]:
+        """Words, each one's probability to be toxic, and the number of texts. own: labels of the texts'
+        rows, if they are among those counted."""
+        for at, part in chunks(texts, TOGETHER):
+            w = Scan(part, Words.hashes)
             rows = None if own is None else np.array(own)[at + w.doc]
-            p = self.marginals(self.bin_of(w.hashes(), rows), w.doc, Chains(w.offset))[0] if len(w.start) else np.zeros(0)
+            p = self.marginals(self.bin_of(w.of, rows), w.doc, Chains(w.offset))[0] if len(w.doc) else np.zeros(0)
             yield w, p, len(part)
 
     @staticmethod
-    def evidence(w: Words, p: np.ndarray, n: int) -> np.ndarray:
+    def evidence(w: Scan, p: np.ndarray, n: int) -> np.ndarray:
         """log(1 + expected odds that a text has toxic words): grows with their number and certainty."""
         return np.log1p(np.bincount(w.doc, -np.log1p(-np.minimum(p, 1 - 1e-12)), n)) if n else np.zeros(0)
 
@@ -148,10 +151,8 @@ class Field:
             found: list[list] = [[] for _ in range(n)]
             if spans:
                 for i in np.flatnonzero(p >= SPAN_LEVEL).tolist():
-                    d = int(w.doc[i])
-                    a = int(w.start[i] - w.first[d])
-                    b = a + int(w.length[i])
-                    old = found[d]
+                    a = int(w.begin[i])
+                    b, old = a + int(w.length[i]), found[int(w.doc[i])]
                     if old and old[-1][3] == i - 1:
                         old[-1] = (old[-1][0], b, max(old[-1][2], float(p[i])), i)
                     else:
@@ -164,7 +165,7 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = None
     for b in batches:
         toxic = np.array(b.column(1).to_pylist(), np.int64)
-        for at, part in chunks(b.column(0).to_pylist()):
+        for at, part in chunks(b.column(0).to_pylist(), PIECE_CHARS):
             w = Words(part)
             pair = np.unique(np.stack([w.hashes(), w.doc.astype(np.uint64)], axis=1), axis=0) if len(w.start) else np.zeros((0, 2), np.uint64)
             word, n = np.unique(pair[:, 0], return_inverse=True)

@@ -8,7 +8,7 @@ LOWER = {c: c + 32 for c in range(65, 91)}
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
 
-def docs(spark, rows, extra=""):
+def docs(spark, rows):
     """rows: (doc_id, text, lang, source), shorter ones filled with nulls."""
     full = [(*r, *[None] * (4 - len(r)), len(r[1]) if r[1] is not None else None) for r in rows]
     return spark.createDataFrame(full, DOCS)
