@@ -266,14 +266,16 @@ class Vocabulary:
             self.memory.add(s.hash[first[new]], s.check[first[new]], self._ids_of([s.token(i) for i in first[new].tolist()]))
             at = self.memory.find(s.hash[first], s.check[first])
         begin, count = self.memory.begin[at], self.memory.count[at]
-        begin, count = begin[of], count[of]
-        upto = np.cumsum(count)
-        ids = self.memory.ids[np.repeat(begin - upto + count, count) + np.arange(upto[-1] if len(upto) else 0)]
-        ends = np.concatenate([[0], upto])[s.last]
-        start = 0
-        for i, stop in enumerate(ends.tolist()):
-            yield ids[start:stop].tobytes() if i not in s.long else self._encode_with_long(texts[i])
-            start = stop
+        first_of = np.concatenate([[0], s.last])
+        for i in range(0, len(texts), 200):
+            upto = first_of[i : i + 201]
+            tokens = of[upto[0] : upto[-1]]
+            n = count[tokens]
+            ends = np.concatenate([[0], np.cumsum(n)])
+            ids = self.memory.ids[np.repeat(begin[tokens] - ends[:-1], n) + np.arange(ends[-1])]
+            cuts = ends[upto - upto[0]].tolist()
+            for k in range(len(upto) - 1):
+                yield ids[cuts[k] : cuts[k + 1]].tobytes() if i + k not in s.long else self._encode_with_long(texts[i + k])
 
     def _encode_with_long(self, text: str) -> bytes:
         """A text with pre-tokens that are too long to be told apart by their numbers."""
@@ -313,7 +315,7 @@ def _classes() -> np.ndarray:
     for kind, pattern in ((0, r"\p{L}"), (1, r"\p{N}"), (3, r"\s")):
         every = regex.compile(pattern + "+")
         for low, high in ((0, 0xD800), (0xE000, 0x110000)):
-            for m in every.finditer("".join(map(chr, range(low, high)))):
+            for m in every.finditer(np.arange(low, high, dtype="<u4").tobytes().decode("utf-32-le")):
                 out[low + m.start() : low + m.end()] = kind
     return out
 
