@@ -1,9 +1,9 @@
 """Toxic spans by a linear-chain conditional random field, and document scores from its marginals.
 
 Rows are labelled as a whole, so tokens are labelled first: over all labelled rows, each word's
-document frequency in toxic and in other rows gives its log-likelihood ratio. Tokens of a toxic row
-whose word reaches TOKEN_LEVEL are toxic; all tokens of other rows are not. The field sees each
-token's ratio, in bins, and those of its neighbours; it is fitted on a bounded sample of whole rows,
+document frequency in toxic and in other rows gives its log-odds, drawn towards the share of toxic rows.
+Tokens of a toxic row whose word reaches TOKEN_LEVEL are toxic; all tokens of other rows are not. The
+field sees each token's log-odds, in bins, and those of its neighbours; it is fitted on a bounded sample of whole rows,
 for which a row's own part in the frequencies is taken out again.
 Forward-backward marginals over a text's whole chain of words give spans and, through a logistic
 function of how many toxic words are expected, the text's score.
@@ -30,10 +30,13 @@ SAMPLE_ROWS = 4000
 #: A word is in the lexicon if this share of toxic rows holds it, and LEAST_ROWS at least: a lexicon has
 #: words-per-row / SUPPORT entries at most, however many rows there are.
 SUPPORT, LEAST_ROWS = 0.001, 3
-#: Log-likelihood ratio from which a word of a toxic row counts as toxic.
-TOKEN_LEVEL = 5.0
-#: Lower bounds of the bins of log-likelihood ratios; words outside the lexicon are in bin 0.
-BINS = (0.0, 0.7, 1.5, 2.5, 3.5, 5.0, 7.0, 10.0, 15.0, 25.0, 50.0)
+#: Log-odds, above those of all rows, from which a word of a toxic row counts as toxic; and the rows of
+#: average kind that every word is taken to have been seen in besides.
+TOKEN_LEVEL, PRIOR_ROWS = 2.5, 4.0
+#: Lower bounds of the bins of log-odds; words outside the lexicon are in bin 0.
+BINS = (0.0, 0.5, 1.0, 1.5, 2.0, 2.5, 3.0, 3.5, 4.0, 4.5, 5.0, 6.0)
+#: Words less likely to be toxic than this say nothing about their text, however many there are.
+FLOOR = 0.1
 SPAN_LEVEL = 0.5
 EPOCHS, RATE, DECAY = 80, 0.5, 1e-3
 #: Words after which chains are cut for fitting, and only there.
@@ -64,10 +67,10 @@ class Field:
         t, o = self.toxic[at[known]].astype(float), self.other[at[known]].astype(float)
         if own is not None:
             t, o = t - own[known], o - (1 - own[known])
-        rate = t / np.maximum(1, t + o)
-        ratio = t * np.log(np.maximum(rate, 1e-9) / self.share) + o * np.log(np.maximum(1 - rate, 1e-9) / (1 - self.share))
+        a = PRIOR_ROWS
+        odds = np.log((np.maximum(t, 0) + a * self.share) / (np.maximum(o, 0) + a * (1 - self.share))) - np.log(self.share / (1 - self.share))
         out = np.zeros(len(hashes), np.int64)
-        out[known] = np.where((t >= self.least) & (rate > self.share), np.searchsorted(BINS, ratio, "right"), 0)
+        out[known] = np.where(t >= self.least, np.searchsorted(BINS, odds, "right"), 0)
         return out
 
     def _emit(self, bins: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -141,7 +144,9 @@ class Field:
     @staticmethod
     def evidence(w: Scan, p: np.ndarray, n: int) -> np.ndarray:
         """log(1 + expected odds that a text has toxic words): grows with their number and certainty."""
-        return np.log1p(np.bincount(w.doc, -np.log1p(-np.minimum(p, 1 - 1e-12)), n)) if n else np.zeros(0)
+        if not n:
+            return np.zeros(0)
+        return np.log1p(np.bincount(w.doc, np.where(p >= FLOOR, -np.log1p(-np.minimum(p, 1 - 1e-12)), 0.0), n))
 
     def predict(self, texts: list, spans: bool = True) -> Iterator[tuple[float, float, list]]:
         """Score, expected toxic words, and spans (start, end, probability) in code points, of each text."""
