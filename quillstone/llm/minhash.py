@@ -304,7 +304,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     sketches = materialize(docs.mapInArrow(_sketches(shingle, bands, rows), SKETCH.format(id=kind)), "sketches")
     known = sketches.where("set_key is not null and id is not null")
     reps = materialize(known.groupBy("set_key").agg(F.min("id").alias("rep")), "nodes")
-    nodes = known.join(reps.withColumnRenamed("set_key", "k"), (F.col("set_key") == F.col("k")) & (F.col("id") == F.col("rep"))).select("id", "buckets", "minima").dropDuplicates(["id"])
+    named = reps.withColumnRenamed("set_key", "k")
+    nodes = known.join(named, (F.col("set_key") == F.col("k")) & (F.col("id") == F.col("rep"))).groupBy("id").agg(F.flatten(F.collect_set("buckets")).alias("buckets"), F.collect_set("minima").alias("minima"))
 
     # buckets with several nodes, by their smallest
     entries = nodes.select("id", F.explode(F.array_distinct("buckets")).alias("bucket"))
@@ -323,13 +324,20 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     left = best.join(sets, "id").select(F.col("id").alias("u"), "v", F.col("members").alias("mu"))
     both = left.join(sets.select(F.col("id").alias("w"), F.col("members").alias("mv")), F.col("v") == F.col("w"))
     n = F.size(F.array_intersect("mu", "mv"))
-    first = materialize(both.where(100 * n >= percent * (F.size("mu") + F.size("mv") - n)).select("u", "v"), "links")
+    first = both.where(100 * n >= percent * (F.size("mu") + F.size("mv") - n)).select("u", "v")
+    # an id that several sets share is one document, linked to the node of each
+    h = F.xxhash64("set_key")
+    several = materialize(known.groupBy("id").agg(F.min(h).alias("low"), F.max(h).alias("high")).where("low < high").select(F.col("id").alias("u")), "several")
+    if not several.isEmpty():
+        sets_of = known.join(several, F.col("id") == F.col("u")).select("u", "set_key").distinct()
+        first = first.unionByName(sets_of.join(named, F.col("set_key") == F.col("k")).select("u", F.col("rep").alias("v")))
+    first = materialize(first, "links")
     parts = materialize(connected_components(first), "parts")
 
     # then: whatever else shares a bucket across components
     comp = parts.select(F.col("id").alias("c"), "component")
     labelled = members.select("bucket", "id").join(comp, F.col("id") == F.col("c"), "left").select("bucket", "id", F.coalesce("component", "id").alias("comp"))
-    spread = _spread(labelled.join(nodes.select("id", "minima"), "id"), block)
+    spread = _spread(labelled.join(nodes.select("id", F.explode("minima").alias("minima")), "id"), block)
     at = ["bucket", "i", "j"]
     promising = materialize(spread.repartition(*at).sortWithinPartitions(*at).mapInArrow(_promising(percent / 100 - SLACK), f"bucket long, i int, j int, id {kind}, comp {kind}"), "promising")
     whole = promising.join(sets, "id").select(*at, "id", "comp", "members")

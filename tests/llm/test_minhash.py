@@ -67,12 +67,23 @@ def test_repeated_ids_empty_and_clash(spark):
     rows = [(1, "a b c d e"), (1, "a b c d e"), (2, "a b c d e"), (3, "v w x y z"), (3, "a b c d e")]
     got = {(r.doc_id, r.component_id) for r in near_duplicates(h.docs(spark, rows), shingle=4).collect()}
     assert (1, 1) in got and (2, 1) in got
+    assert {c for i, c in got if i == 3} == {1}
     assert near_duplicates(h.docs(spark, []), shingle=4).count() == 0 and near_dedup(h.docs(spark, [])).count() == 0
     clash = h.docs(spark, rows).withColumn("id", F.lit(0)).withColumn("Kept", F.lit("old")).withColumn("component_id", F.lit(-1))
     out = near_dedup(clash)
     assert out.columns == clash.columns and {r.doc_id for r in out.collect()} <= {1, 3}
 
 
+def test_an_id_has_the_links_of_each_of_its_texts(spark):
+    rng = random.Random(3)
+    bases = [[f"t{g}w{i}" for i in range(100)] for g in range(4)]
+    # ids 0 and 1 hold texts of two groups each, which joins groups 0, 1 and 2; group 3 stays apart
+    rows = [(i, " ".join(bases[g])) for i, g in ((0, 0), (0, 1), (1, 1), (1, 2))]
+    rows += [(10 * g + 10 + i, " ".join(vary(rng, bases[g], 1))) for g in range(4) for i in range(3)]
+    got = {r.doc_id: r.component_id for r in near_duplicates(h.docs(spark, rows).repartition(3), shingle=4).collect()}
+    assert got == {i: 0 if i < 40 else 40 for i, _ in rows}
+
+
 def test_near_dedup_keeps_one_of_each(spark):
     rows = near_rows(4)
     want = {i for i, c in h.components(rows, 5).items() if i == c}
