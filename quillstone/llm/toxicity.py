@@ -11,25 +11,29 @@ function of how many toxic words are expected, the text's score.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+import itertools
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.llm import bloom
-from quillstone.llm.common import materialize, without
+from quillstone.llm.common import discard, materialize, without
 from quillstone.llm.words import PIECE as PIECE_CHARS
 from quillstone.llm.words import TOGETHER, Chains, Scan, Words, chunks
 
 RESULTS = ("score", "toxic_words", "spans")
 #: Rows that the field is fitted on, at most.
 SAMPLE_ROWS = 4000
-#: A word is in the lexicon if this share of toxic rows holds it, and LEAST_ROWS at least: a lexicon has
-#: words-per-row / SUPPORT entries at most, however many rows there are.
-SUPPORT, LEAST_ROWS = 0.001, 3
+#: Toxic rows that hold a word of the lexicon, at least, however many rows there are; log-odds decide further.
+LEAST_ROWS = 3
+#: Words of a lexicon that is held in memory at once. A larger one stays a table, which score() goes
+#: through in slices of about so many words, writing each word's bin down between two slices.
+LEXICON_WORDS = 4_000_000
 #: Log-odds, above those of all rows, from which a word of a toxic row counts as toxic; and the rows of
 #: average kind that every word is taken to have been seen in besides.
 TOKEN_LEVEL, PRIOR_ROWS = 2.5, 4.0
@@ -57,6 +61,9 @@ class Field:
     weights: np.ndarray = field(default_factory=lambda: np.concatenate([[-6.0], np.zeros(3 * (len(BINS) + 1) + 2)]))
     slope: float = 1.0
     shift: float = -2.0
+    #: the lexicon as a table (word, toxic, other) if it is read in slices; words are then those of the sample only
+    table: DataFrame | None = None
+    slices: int = 1
 
     def bin_of(self, hashes: np.ndarray, own: np.ndarray | None = None) -> np.ndarray:
         """Bin of each token. own: label of each token's row, if that row is among those counted."""
@@ -132,13 +139,14 @@ class Field:
             seen += g * g
             self.weights = self.weights + RATE * g / np.sqrt(seen)
 
-    def scan(self, texts: list, own: list | None = None) -> Iterator[tuple[Scan, np.ndarray, int]]:
+    def scan(self, texts: list, own: list | None = None, marks: list | None = None) -> Iterator[tuple[Scan, np.ndarray, int]]:
         """Words, each one's probability to be toxic, and the number of texts. own: labels of the texts'
-        rows, if they are among those counted."""
+        rows, if they are among those counted. marks: bins of the texts' words, if they are known."""
         for at, part in chunks(texts, TOGETHER):
             w = Scan(part, Words.hashes)
             rows = None if own is None else np.array(own)[at + w.doc]
-            p = self.marginals(self.bin_of(w.of, rows), w.doc, Chains(w.offset))[0] if len(w.doc) else np.zeros(0)
+            bins = self.bin_of(w.of, rows) if marks is None else np.frombuffer(b"".join(marks[at : at + len(part)]), np.uint8).astype(np.int64)
+            p = self.marginals(bins, w.doc, Chains(w.offset))[0] if len(w.doc) else np.zeros(0)
             yield w, p, len(part)
 
     @staticmethod
@@ -148,9 +156,18 @@ class Field:
             return np.zeros(0)
         return np.log1p(np.bincount(w.doc, np.where(p >= FLOOR, -np.log1p(-np.minimum(p, 1 - 1e-12)), 0.0), n))
 
-    def predict(self, texts: list, spans: bool = True) -> Iterator[tuple[float, float, list]]:
+    def mark(self, texts: list, marks: list) -> Iterator[bytes]:
+        """Bins of each text's words, a byte each: those of the lexicon's words here, else those in marks."""
+        for at, part in chunks(texts, TOGETHER):
+            w = Scan(part, Words.hashes)
+            bins = self.bin_of(w.of).astype(np.uint8)
+            for i, (a, b) in enumerate(itertools.pairwise(w.offset.tolist())):
+                old = marks[at + i]
+                yield (bins[a:b] if old is None else np.maximum(bins[a:b], np.frombuffer(old, np.uint8))).tobytes()
+
+    def predict(self, texts: list, spans: bool = True, marks: list | None = None) -> Iterator[tuple[float, float, list]]:
         """Score, expected toxic words, and spans (start, end, probability) in code points, of each text."""
-        for w, p, n in self.scan(texts):
+        for w, p, n in self.scan(texts, None, marks):
             score = 1 / (1 + np.exp(-np.clip(self.slope * self.evidence(w, p, n) + self.shift, -30, 30)))
             expected = np.bincount(w.doc, p, n)
             found: list[list] = [[] for _ in range(n)]
@@ -165,6 +182,9 @@ class Field:
             yield from zip(score.tolist(), expected.tolist(), ([s[:3] for s in f] for f in found), strict=True)
 
 
+FREQUENCIES = "word long, toxic long, other long"
+
+
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(word hash, toxic rows, other rows) of this task."""
     total = None
@@ -184,12 +204,21 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(total[0].view(np.int64)), pa.array(total[1].astype(np.int64)), pa.array(total[2].astype(np.int64))], ["word", "toxic", "other"])
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS) -> Field:
+def _arrays(lexicon: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted words of a lexicon, and the toxic and other rows that hold each."""
+    got = lexicon.toArrow()
+    words, toxic, other = (got.column(i).to_numpy() for i in range(3))
+    words = words.astype(np.int64).view(np.uint64)
+    order = np.argsort(words)
+    return words[order], toxic[order], other[order]
+
+
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS, lexicon_words: int = LEXICON_WORDS) -> Field:
     """A field learned from the rows of docs that labels has a label (0 or 1) for.
 
     Word frequencies cover all those rows; the weights are fitted on sample_rows of them, chosen by a
     hash of the id, in WORKERS tasks whose weights are averaged. Without toxic rows, or without
-    others, the field calls nothing toxic.
+    others, the field calls nothing toxic. A lexicon of more than lexicon_words is read in slices.
     """
     labels = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).cast("long").alias("__y"))
     labels = materialize(labels, "labels")
@@ -209,23 +238,24 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     if not nt or not nc:
         f.slope, f.shift = 0.0, (-4.0 if nc or not nt else 0.0)
         return f
-    sums = rows.select("__t", "__y").mapInArrow(_frequencies, "word long, toxic long, other long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
-    f.share, f.least = nt / (nt + nc), max(LEAST_ROWS, SUPPORT * nt)
-    lexicon = sums.where((F.col("toxic") >= f.least) & (F.col("toxic") > f.share * (F.col("toxic") + F.col("other")))).toArrow()
-    words, toxic, other = (lexicon.column(i).to_numpy() for i in range(3))
-    order = np.argsort(words.astype(np.int64).view(np.uint64))
-    f.words, f.toxic, f.other = words.astype(np.int64).view(np.uint64)[order], toxic[order], other[order]
+    f.share = nt / (nt + nc)
+    sums = rows.select("__t", "__y").mapInArrow(_frequencies, FREQUENCIES).groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
+    lexicon = materialize(sums.where((F.col("toxic") >= LEAST_ROWS) & (F.col("toxic") > f.share * (F.col("toxic") + F.col("other")))), "lexicon")
     # somewhat more than the sample by a cut on the hash alone, so that no task sorts more than that
     pick = rows.withColumn("__h", F.xxhash64("__id", F.lit("sample")))
     if nt + nc > 1.5 * sample_rows:
         pick = pick.where(F.shiftrightunsigned("__h", 1) < F.lit(int(1.2 * sample_rows / (nt + nc) * (1 << 63))))
     pick = pick.orderBy("__h", "__id").limit(sample_rows)
     sample = pick.repartition(WORKERS, "__h")
+    n, near = lexicon.count(), lexicon
+    if n > lexicon_words:  # fitting needs the words of the sample only
+        near = lexicon.join(sample.select("__t", "__y").mapInArrow(_frequencies, FREQUENCIES).select("word").distinct(), "word")
+    f.words, f.toxic, f.other = _arrays(near)
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = sorted((h, t, y) for b in batches for h, t, y in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True))
         if got:
-            own = Field(f.words, f.toxic, f.other, f.share, f.least)
+            own = Field(f.words, f.toxic, f.other, f.share)
             own.fit([t for _, t, _ in got], [y for _, _, y in got])
             yield pa.RecordBatch.from_arrays([pa.array([own.weights.tolist()], pa.list_(pa.float64())), pa.array([len(got)], pa.int64())], ["w", "n"])
 
@@ -240,6 +270,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     seen = sample.select("__t", "__y").mapInArrow(measure, "x double, y long").toArrow()
     f.slope, f.shift = _logistic(seen.column(0).to_numpy(), seen.column(1).to_numpy())
+    if n > lexicon_words:
+        f.table, f.slices = lexicon, -(-n // lexicon_words)
     return f
 
 
@@ -259,19 +291,45 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return max(0.0, float(a)), float(b)
 
 
+def _marker(shared: Broadcast) -> Callable:
+    @F.arrow_udf("binary")
+    def mark(texts: pa.Array, marks: pa.Array) -> pa.Array:
+        return pa.array(list(shared.value.mark(texts.to_pylist(), marks.to_pylist())), pa.binary())
+
+    return mark
+
+
+def _marked(df: DataFrame, model: Field, text_col: str) -> DataFrame:
+    """df with __b, the bins of each text's words, from one slice of the lexicon after the other."""
+    spark, before = df.sparkSession, None
+    df = df.withColumn("__b", F.lit(None).cast("binary"))
+    for k in range(model.slices):
+        words, toxic, other = _arrays(model.table.where(F.pmod(F.xxhash64("word"), F.lit(model.slices)) == k))
+        shared = spark.sparkContext.broadcast(Field(words, toxic, other, model.share))
+        df = materialize(df.withColumn("__b", _marker(shared)(F.col(text_col), F.col("__b"))), "marks")
+        if before is not None:
+            discard(before)
+        before = df
+        shared.unpersist()
+    return df
+
+
 def score(df: DataFrame, model: Field, text_col: str = "text", spans: bool = True) -> DataFrame:
     """df with score (0 to 1), toxic_words (expected number) and spans (start, end, probability).
 
     Null and empty texts score as texts without words. Columns named like a result are replaced.
     """
     df = without(df, *RESULTS)
-    shared = df.sparkSession.sparkContext.broadcast(model)
+    columns, marked = df.columns, model.table is not None
+    if marked:
+        df = _marked(df, model, text_col)
+    shared = df.sparkSession.sparkContext.broadcast(replace(model, table=None))
 
     @F.arrow_udf("struct<score double, toxic_words double, spans array<struct<start int, end int, probability double>>>")
-    def run(texts: pa.Array) -> pa.Array:
-        out = list(shared.value.predict(texts.to_pylist(), spans))
+    def run(texts: pa.Array, *marks: pa.Array) -> pa.Array:
+        out = list(shared.value.predict(texts.to_pylist(), spans, marks[0].to_pylist() if marks else None))
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("probability", pa.float64())]))
         return pa.StructArray.from_arrays([pa.array([x[0] for x in out], pa.float64()), pa.array([x[1] for x in out], pa.float64()), pa.array([[dict(zip(("start", "end", "probability"), s, strict=True)) for s in x[2]] for x in out], kind)], list(RESULTS))
 
-    rows = df.withColumn("__r", run(F.col(text_col)))
-    return rows.select(*df.columns, *[F.col(f"__r.{c}").alias(c) for c in RESULTS])
+    rows = df.withColumn("__r", run(F.col(text_col), F.col("__b")) if marked else run(F.col(text_col)))
+    return rows.select(*columns, *[F.col(f"__r.{c}").alias(c) for c in RESULTS])

@@ -135,3 +135,21 @@ def test_toxicity_without_classes(spark):
         model = tx.train(df, labels)
         assert {r.score < 0.5 for r in tx.score(df, model).collect()} == {True}
     assert tx.score(h.docs(spark, []), tx.train(h.docs(spark, []), none)).count() == 0
+
+
+def test_rare_words_of_large_tables_are_evidence(spark):
+    n = 5000
+    rows = [(i, f"ba be bi {'grobian' if i < 4 else 'moron'}" if i < n else "ba be bi bo") for i in range(2 * n)]
+    labels = spark.createDataFrame([(i, int(i < n)) for i in range(2 * n)], "doc_id long, toxic int")
+    model = tx.train(h.docs(spark, rows).repartition(4), labels, sample_rows=400)
+    rare, common, clean = model.bin_of(tx.Words(["grobian moron bo"]).hashes())
+    assert rare > 0 and common >= rare and clean == 0
+
+
+def test_lexicon_in_slices(spark):
+    rows, labels = toxic_rows()
+    df, y = h.docs(spark, [*rows, (1000, None), (1001, "")]).repartition(3), spark.createDataFrame(labels, "doc_id long, toxic int")
+    whole, sliced = tx.train(df, y, sample_rows=200), tx.train(df, y, sample_rows=200, lexicon_words=60)
+    assert whole.slices == 1 and whole.table is None and sliced.slices >= 2
+    out = [sorted((r.doc_id, r.score, r.toxic_words, r.spans) for r in tx.score(df, m).collect()) for m in (whole, sliced)]
+    assert out[0] == out[1] and tx.score(df, sliced).columns == tx.score(df, whole).columns
