@@ -29,6 +29,8 @@ from quillstone.llm.words import TOGETHER, Chains, Scan, Words, chunks
 RESULTS = ("score", "toxic_words", "spans")
 #: Rows that the field is fitted on, at most.
 SAMPLE_ROWS = 4000
+#: One in so many of them, at least, is of the rarer class if there are such rows.
+RARER = 10
 #: Toxic rows that hold a word of the lexicon, at least, however many rows there are; log-odds decide further.
 LEAST_ROWS = 3
 #: Words of a lexicon that is held in memory at once. A larger one stays a table, which score() goes
@@ -204,6 +206,15 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(total[0].view(np.int64)), pa.array(total[1].astype(np.int64)), pa.array(total[2].astype(np.int64))], ["word", "toxic", "other"])
 
 
+def _sample(rows: DataFrame, n: int, most: int) -> DataFrame:
+    """Of n rows the most with the smallest __h."""
+    # somewhat more than the sample by a cut on the hash alone, so that no task sorts more than that
+    cut = most + 6 * most**0.5 + 30
+    if n > 1.2 * cut:
+        rows = rows.where(F.shiftrightunsigned("__h", 1) < F.lit(int(cut / n * (1 << 63))))
+    return rows.orderBy("__h", "__id").limit(most)
+
+
 def _arrays(lexicon: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sorted words of a lexicon, and the toxic and other rows that hold each."""
     got = lexicon.toArrow()
@@ -217,7 +228,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """A field learned from the rows of docs that labels has a label (0 or 1) for.
 
     Word frequencies cover all those rows; the weights are fitted on sample_rows of them, chosen by a
-    hash of the id, in WORKERS tasks whose weights are averaged. Without toxic rows, or without
+    hash of the id, in WORKERS tasks whose weights are averaged. The rarer class makes up a tenth of them
+    at least, or all its rows if they are fewer; scores are put back to the
+    shares of all rows, while the probabilities of words stay those at the sample's shares. Without toxic rows, or without
     others, the field calls nothing toxic. A lexicon of more than lexicon_words is read in slices.
     """
     labels = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).cast("long").alias("__y"))
@@ -241,11 +254,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     f.share = nt / (nt + nc)
     sums = rows.select("__t", "__y").mapInArrow(_frequencies, FREQUENCIES).groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
     lexicon = materialize(sums.where((F.col("toxic") >= LEAST_ROWS) & (F.col("toxic") > f.share * (F.col("toxic") + F.col("other")))), "lexicon")
-    # somewhat more than the sample by a cut on the hash alone, so that no task sorts more than that
+    # of each class its share of the sample, but of the rarer one a tenth of the sample at least
+    rare = min(nt, nc, max(round(sample_rows * min(nt, nc) / (nt + nc)), sample_rows // RARER))
+    take = [min(max(nt, nc), sample_rows - rare), rare][:: 1 if nt <= nc else -1]
     pick = rows.withColumn("__h", F.xxhash64("__id", F.lit("sample")))
-    if nt + nc > 1.5 * sample_rows:
-        pick = pick.where(F.shiftrightunsigned("__h", 1) < F.lit(int(1.2 * sample_rows / (nt + nc) * (1 << 63))))
-    pick = pick.orderBy("__h", "__id").limit(sample_rows)
+    pick = _sample(pick.where("__y = 1"), nt, take[1]).unionAll(_sample(pick.where("__y = 0"), nc, take[0]))
+    excess = (take[1] / take[0]) / (nt / nc)
     sample = pick.repartition(WORKERS, "__h")
     n, near = lexicon.count(), lexicon
     if n > lexicon_words:  # fitting needs the words of the sample only
@@ -270,6 +284,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     seen = sample.select("__t", "__y").mapInArrow(measure, "x double, y long").toArrow()
     f.slope, f.shift = _logistic(seen.column(0).to_numpy(), seen.column(1).to_numpy())
+    f.shift -= float(np.log(excess))
     if n > lexicon_words:
         f.table, f.slices = lexicon, -(-n // lexicon_words)
     return f

@@ -153,3 +153,12 @@ def test_lexicon_in_slices(spark):
     assert whole.slices == 1 and whole.table is None and sliced.slices >= 2
     out = [sorted((r.doc_id, r.score, r.toxic_words, r.spans) for r in tx.score(df, m).collect()) for m in (whole, sliced)]
     assert out[0] == out[1] and tx.score(df, sliced).columns == tx.score(df, whole).columns
+
+
+def test_rare_labels_are_learned(spark):
+    rows = [(i, f"ba {'be' if i % 2 else 'bi'} bo {BAD[i // 500 % 4] + ' bu ' + BAD[i // 2000 % 4] if i % 500 == 0 else 'bu'}") for i in range(20_000)]
+    labels = spark.createDataFrame([(i, int(i % 500 == 0)) for i in range(20_000)], "doc_id long, toxic int")
+    model = tx.train(h.docs(spark, rows).repartition(4), labels, sample_rows=100)
+    new = [(1, "bi bo idiot idiot"), (2, "ba moron loser"), (3, "ba be bi bo bu"), (4, "something else")]
+    got = {r.doc_id: r for r in tx.score(h.docs(spark, new), model).collect()}
+    assert got[1].score >= 0.5 and got[2].score >= 0.5 and got[3].score < 0.5 and got[4].score < 0.5 and got[1].spans and not got[3].spans
