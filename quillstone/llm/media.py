@@ -2,13 +2,13 @@
 
 A recording is cut into overlapping frames; each frame's spectrum is folded to the energies of twelve
 pitch classes. Sixteen rectangular filters, evaluated on the integral image of frames by pitch classes,
-give two bits each: a packed 32-bit integer per frame. Recordings that share integers vote for the
-offset between them; at the offset with most votes the share of differing bits decides.
+give two bits each: a packed 32-bit integer per frame. Each query is held against each recording at all
+offsets, by correlating their bits; the share of differing bits decides.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from typing import Any
 
@@ -25,6 +25,8 @@ FRAME, HOP = 2048, 512
 #: Fewest frames of overlap, fewest votes, and most differing bits of an alignment.
 LEAST_OVERLAP, LEAST_VOTES, MOST_ERRORS = 16, 4, 0.25
 WIDEST = 16
+#: Integers, with padding, of the recordings that are compared at once.
+BLOCK = 1 << 13
 
 
 def _filters() -> list[tuple[int, int, int, int]]:
@@ -123,25 +125,81 @@ def fingerprints(df: DataFrame, media: Column, decode: Callable[[Any], np.ndarra
     return df.withColumn("__p", run(media)).select(*df.columns, "__p.*")
 
 
+def _spectra(prints: list, size: int) -> np.ndarray:
+    """Spectra of each bit's course, as 1 and -1: recordings by bits by frequencies."""
+    x = np.zeros((len(prints), 32, size), np.float32)
+    for i, (_, bits, _) in enumerate(prints):
+        x[i, :, : len(bits)] = (bits >> np.arange(32)[:, None] & 1) * 2 - 1
+    return np.fft.rfft(x, axis=2)
+
+
+def _aligned(queries: list, prints: list) -> Iterator[tuple]:
+    """(query, recording, offset, votes, overlap, bit errors) of those that align. Both: (id, bits, sound)."""
+    size = 1 << (max(len(x[1]) for x in queries) + max(len(x[1]) for x in prints)).bit_length()
+    step = max(1, 4 * BLOCK // size)
+    for i in range(0, len(queries), step):
+        q = queries[i : i + step]
+        a, nq = _spectra(q, size).conj().transpose(2, 0, 1), np.array([len(x[1]) for x in q])
+        for j in range(0, len(prints), step):
+            r = prints[j : j + step]
+            nr = np.array([len(x[1]) for x in r])
+            alike = np.fft.irfft(a @ _spectra(r, size).transpose(2, 1, 0), size, axis=0)  # equal bits less differing ones
+            offset = np.arange(size)
+            offset[offset >= nr.max()] -= size
+            o = offset[:, None, None]
+            n = np.minimum(nr, nq[:, None] + o) - np.maximum(0, o)
+            # rounding may add a little: what passes is counted exactly
+            near = np.nonzero((n >= LEAST_OVERLAP) & (32 * n - alike <= 64 * n * (MOST_ERRORS + 0.001) + 1))
+            best: dict = {}
+            for k, x, y in zip(*(v.tolist() for v in near), strict=True):
+                (qid, qb, qs), (rid, rb, rs), at = q[x], r[y], int(offset[k])
+                if qid == rid:
+                    continue
+                begin, end = max(0, at), min(len(rb), len(qb) + at)
+                differ, sound = rb[begin:end] ^ qb[begin - at : end - at], rs[begin:end] & qs[begin - at : end - at]
+                errors = int(np.bitwise_count(differ).sum()) / (32.0 * (end - begin))
+                votes = int(((differ == 0) & sound).sum())
+                if errors <= MOST_ERRORS and (votes >= LEAST_VOTES or sound.sum() >= LEAST_OVERLAP):
+                    best[x, y] = max(best.get((x, y), (-1,)), (votes, -errors, -at, end - begin))
+            for (x, y), (votes, errors, at, overlap) in best.items():
+                yield q[x][0], r[y][0], -at, votes, overlap, abs(errors)
+
+
 def align(df: DataFrame, queries: Column, id_col: str = "id") -> DataFrame:
     """Aligned recordings: a row for each pair of a query and another recording that differ in print.
 
     df: id, bits, sound and digest, as from fingerprints(); queries tells which rows are searched for,
     against all rows. Recordings of equal print are one class, named by its smallest id; the rows are
     (query_class, class_id, offset, votes, overlap, bit_errors), offset being the place of the query's
-    start in the recording. Each pair is judged at the offset with most votes, the smallest of several.
+    start in the recording and votes how many sounding integers are equal there. Of the offsets with an
+    overlap of LEAST_OVERLAP and MOST_ERRORS at most, that with most votes counts, then that with fewest
+    errors, then the smallest. Silence alone aligns nothing: LEAST_VOTES sounding integers are equal, or
+    LEAST_OVERLAP places sound in both. All pairs are compared: the work is queries times recordings.
     """
     known = df.where(F.col("digest").isNotNull() & F.col(id_col).isNotNull())
     classes = materialize(known.groupBy("digest").agg(F.min(id_col).alias("class_id"), F.bool_or(queries).alias("asked"), F.first("bits").alias("bits"), F.first("sound").alias("sound")), "recordings")
-    # silence is in no index: it would align any two recordings
-    index = classes.select("class_id", "asked", F.posexplode(F.transform("bits", lambda b, i: F.when(F.get("sound", i), b))).alias("at", "b")).where("b is not null")
-    asked = index.where("asked").select(F.col("class_id").alias("query_class"), F.col("at").alias("qat"), F.col("b").alias("qb"))
-    hits = asked.join(index, (F.col("qb") == F.col("b")) & (F.col("query_class") != F.col("class_id")))
-    votes = hits.groupBy("query_class", "class_id", (F.col("at") - F.col("qat")).alias("offset")).agg(F.count("*").alias("votes")).where(F.col("votes") >= LEAST_VOTES)
-    best = votes.groupBy("query_class", "class_id").agg(F.max(F.struct("votes", (-F.col("offset")).alias("o"))).alias("best")).select("query_class", "class_id", "best.votes", (-F.col("best.o")).alias("offset"))
-    a = classes.select(F.col("class_id").alias("query_class"), F.col("bits").alias("qbits"))
-    both = best.join(a, "query_class").join(classes.select("class_id", "bits"), "class_id")
-    begin, end = F.greatest(F.lit(0), F.col("offset")), F.least(F.size("bits"), F.size("qbits") + F.col("offset"))
-    n = end - begin
-    errors = F.aggregate(F.zip_with(F.slice("bits", begin + 1, n), F.slice("qbits", begin - F.col("offset") + 1, n), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x) / (32.0 * n)
-    return both.withColumn("overlap", n).where(F.col("overlap") >= LEAST_OVERLAP).withColumn("bit_errors", errors).where(F.col("bit_errors") <= MOST_ERRORS).select("query_class", "class_id", "offset", "votes", "overlap", "bit_errors")
+    classes = classes.where((F.size("bits") >= LEAST_OVERLAP) & F.exists("sound", lambda x: x)).withColumn("__c", F.ceil(F.log2(F.size("bits").cast("double"))).cast("int"))
+    key, spark = df.schema[id_col].dataType.simpleString(), df.sparkSession
+
+    def blocks(rows: DataFrame) -> DataFrame:
+        pieces = F.lit(1)
+        for c, n in rows.groupBy("__c").count().collect():
+            pieces = F.when(F.col("__c") == c, F.lit(-(-n * 2**c // BLOCK))).otherwise(pieces)
+        rows = rows.withColumn("__k", F.pmod(F.xxhash64("class_id"), pieces.cast("long")))
+        return rows.groupBy("__c", "__k").agg(F.collect_list(F.struct("class_id", "bits", "sound")).alias("r")).select("__c", "__k", "r")
+
+    known = blocks(classes).repartition(4 * spark.sparkContext.defaultParallelism, "__c", "__k").select("r")
+    asked = blocks(classes.where("asked")).select(F.col("r").alias("q"))
+    out = f"query_class {key}, class_id {key}, offset int, votes long, overlap int, bit_errors double"
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            kind = b.schema.field(0).type.value_type.field(0).type
+            for i in range(b.num_rows):
+                r, q = ([(x["class_id"], np.array(x["bits"], np.int64), np.array(x["sound"], bool)) for x in b.column(j)[i].as_py()] for j in (0, 1))
+                rows = list(_aligned(q, r))
+                if rows:
+                    kinds = (kind, kind, pa.int32(), pa.int64(), pa.int32(), pa.float64())
+                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["query_class", "class_id", "offset", "votes", "overlap", "bit_errors"])
+
+    return known.crossJoin(asked).mapInArrow(compare, out)

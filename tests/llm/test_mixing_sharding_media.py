@@ -141,3 +141,21 @@ def test_filters_see_the_integral_image():
     x, y = c[3 : 3 + w // 2, p : p + n].sum(), c[3 + w // 2 : 3 + w, p : p + n].sum()
     level = int(np.searchsorted([-0.15, 0.0, 0.15], np.log1p(x) - np.log1p(y)))
     assert kind == 1 and media.packed(c)[3] >> 28 & 3 == level ^ level >> 1 and len(media.packed(c[:15])) == 0
+
+
+def test_disturbed_recordings_align_as_by_brute_force(spark):
+    rng = np.random.default_rng(5)
+    prints = [media.fingerprint(song(i, 30))[0] for i in range(6)]
+    for b in prints[:3]:
+        prints.append(b ^ (np.int64(1) << rng.integers(0, 32, len(b))))  # a bit of each integer
+        prints.append((b ^ ((rng.random((len(b), 32)) < 0.1) << np.arange(32)).sum(axis=1))[7:])
+    rows = [(i, b.tolist(), [True] * len(b), str(i)) for i, b in enumerate(prints)]
+    want = set()
+    for i, q in enumerate(prints):
+        for j, r in enumerate(prints):
+            for o in range(16 - len(q), len(r) - 15):
+                a, b = max(0, o), min(len(r), len(q) + o)
+                if i % 2 == 0 and i != j and np.bitwise_count(r[a:b] ^ q[a - o : b - o]).sum() <= 8 * (b - a):
+                    want.add((i, j))
+    got = media.align(spark.createDataFrame(rows, "id long, bits array<long>, sound array<boolean>, digest string"), F.col("id") % 2 == 0).collect()
+    assert {(r.query_class, r.class_id) for r in got} == want and len(got) == len(want) and {(0, 6), (2, 10), (2, 11)} <= want
