@@ -2,8 +2,9 @@
 
 A recording is cut into overlapping frames; each frame's spectrum is folded to the energies of twelve
 pitch classes. Sixteen rectangular filters, evaluated on the integral image of frames by pitch classes,
-give two bits each: a packed 32-bit integer per frame. Each query is held against each recording at all
-offsets, by correlating their bits; the share of differing bits decides.
+give two bits each: a packed 32-bit integer per frame. Each query is held against each recording: a
+histogram over all offsets of the bits that agree, got by correlating them, names the offsets worth a look,
+and there votes (equal integers) and the share of differing bits, counted exactly, decide.
 """
 
 from __future__ import annotations
@@ -150,19 +151,34 @@ def _aligned(queries: list, prints: list) -> Iterator[tuple]:
             n = np.minimum(nr, nq[:, None] + o) - np.maximum(0, o)
             # rounding may add a little: what passes is counted exactly
             near = np.nonzero((n >= LEAST_OVERLAP) & (32 * n - alike <= 64 * n * (MOST_ERRORS + 0.001) + 1))
-            best: dict = {}
-            for k, x, y in zip(*(v.tolist() for v in near), strict=True):
-                (qid, qb, qs), (rid, rb, rs), at = q[x], r[y], int(offset[k])
-                if qid == rid:
-                    continue
-                begin, end = max(0, at), min(len(rb), len(qb) + at)
-                differ, sound = rb[begin:end] ^ qb[begin - at : end - at], rs[begin:end] & qs[begin - at : end - at]
-                errors = int(np.bitwise_count(differ).sum()) / (32.0 * (end - begin))
-                votes = int(((differ == 0) & sound).sum())
-                if errors <= MOST_ERRORS and (votes >= LEAST_VOTES or sound.sum() >= LEAST_OVERLAP):
-                    best[x, y] = max(best.get((x, y), (-1,)), (votes, -errors, -at, end - begin))
-            for (x, y), (votes, errors, at, overlap) in best.items():
-                yield q[x][0], r[y][0], -at, votes, overlap, abs(errors)
+            order = np.lexsort(near[::-1][:2])
+            k, x, y = (v[order] for v in near)
+            cuts = np.flatnonzero(np.diff(x * len(r) + y, prepend=-1))
+            for begin, end in zip(cuts.tolist(), [*cuts[1:].tolist(), len(x)], strict=True):
+                (qid, *query), (rid, *recording) = q[x[begin]], r[y[begin]]
+                if qid != rid and (best := _best_offset(query, recording, np.sort(offset[k[begin:end]]))):
+                    yield qid, rid, *best
+
+
+def _best_offset(query: list, recording: list, offsets: np.ndarray) -> tuple | None:
+    """(offset, votes, overlap, bit errors) of the best of these offsets, counted bit by bit; both: (bits, sound)."""
+    (qb, qs), (rb, rs), best = query, recording, None
+    step = max(1, (1 << 20) // len(qb))
+    for i in range(0, len(offsets), step):
+        o = offsets[i : i + step]
+        at = np.arange(len(qb)) + o[:, None]
+        inside = (at >= 0) & (at < len(rb))
+        at = np.where(inside, at, 0)
+        differ, sound = np.where(inside, rb[at] ^ qb, 0), rs[at] & qs & inside
+        overlap = inside.sum(axis=1)
+        errors = np.bitwise_count(differ).sum(axis=1, dtype=np.int64) / (32.0 * overlap)
+        votes, heard = ((differ == 0) & sound).sum(axis=1), sound.sum(axis=1)
+        good = np.flatnonzero((errors <= MOST_ERRORS) & ((votes >= LEAST_VOTES) | (heard >= LEAST_OVERLAP)))
+        if len(good):
+            n = good[np.lexsort((o[good], errors[good], -votes[good]))[0]]
+            new = (-int(votes[n]), float(errors[n]), int(o[n]), int(overlap[n]))
+            best = new if best is None else min(best, new)
+    return best and (best[2], -best[0], best[3], best[1])
 
 
 def align(df: DataFrame, queries: Column, id_col: str = "id") -> DataFrame:
@@ -174,7 +190,10 @@ def align(df: DataFrame, queries: Column, id_col: str = "id") -> DataFrame:
     start in the recording and votes how many sounding integers are equal there. Of the offsets with an
     overlap of LEAST_OVERLAP and MOST_ERRORS at most, that with most votes counts, then that with fewest
     errors, then the smallest. Silence alone aligns nothing: LEAST_VOTES sounding integers are equal, or
-    LEAST_OVERLAP places sound in both. All pairs are compared: the work is queries times recordings.
+    LEAST_OVERLAP places sound in both. Every query is compared with every recording, in blocks: the work is
+    queries times recordings, whatever they sound like. Rows with a null id or digest, and recordings that are
+    silent throughout or shorter than LEAST_OVERLAP, align with nothing. Rows that repeat an id are one
+    recording for each print. Other columns of df are not read.
     """
     known = df.where(F.col("digest").isNotNull() & F.col(id_col).isNotNull())
     classes = materialize(known.groupBy("digest").agg(F.min(id_col).alias("class_id"), F.bool_or(queries).alias("asked"), F.first("bits").alias("bits"), F.first("sound").alias("sound")), "recordings")
@@ -189,7 +208,7 @@ def align(df: DataFrame, queries: Column, id_col: str = "id") -> DataFrame:
         return rows.groupBy("__c", "__k").agg(F.collect_list(F.struct("class_id", "bits", "sound")).alias("r")).select("__c", "__k", "r")
 
     known = blocks(classes).repartition(4 * spark.sparkContext.defaultParallelism, "__c", "__k").select("r")
-    asked = blocks(classes.where("asked")).select(F.col("r").alias("q"))
+    asked = materialize(blocks(classes.where("asked")).select(F.col("r").alias("q")), "asked")
     out = f"query_class {key}, class_id {key}, offset int, votes long, overlap int, bit_errors double"
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
