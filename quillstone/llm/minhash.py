@@ -6,8 +6,14 @@ node. Links are confirmed on the full sets:
 
 1. Each node is compared with the node that it shares most buckets with among buckets' smallest ids.
 2. What these links join is one component. Buckets that still hold several components are searched
-   whole, in blocks, for pairs across components whose signatures agree well enough; these, in turn,
-   are compared on their full sets. A block reports no more links than join its components.
+   for pairs across components whose signatures agree well enough, each pair in the first bucket that it
+   shares; these, in turn, are compared on their full sets. A bucket reports no more links than join its
+   components.
+3. Crowded buckets of this kind, as documents of one template make them, aren't searched whole: their
+   documents are dealt anew by rare shingles. With all shingles in the order of how many of these
+   documents hold them, two documents of similarity 0.8 share one among the first fifth of each, and
+   among the first ninth of the smaller one. Documents that own more than that drop out, and the others
+   meet in blocks only those that hold the same rare shingle.
 
 So a bucket of n near copies costs about n comparisons, not n squared, and yet every pair that shares
 a bucket is either confirmed, refuted, or already joined through others. A pair of similarity 0.8
@@ -23,14 +29,15 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quillstone.llm import bloom
 from quillstone.llm.common import SPACE_BYTES, materialize
 from quillstone.llm.components import connected_components
 
 BANDS, ROWS = 34, 5
-#: Nodes that a task compares with one another at once.
-BLOCK = 1000
+#: Nodes of a block; a task compares those of two blocks with one another. Larger buckets count as crowded.
+BLOCK = 250
 #: Signatures may estimate a similarity so much below the threshold; six standard deviations.
 SLACK = 0.2
 #: Shared buckets from which the first step compares a pair.
@@ -113,6 +120,7 @@ def signature(values: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out >> np.uint64(32)
 
 
+#: minima: the low byte of each minimum, then 32 bits of each bucket.
 SKETCH = "id {id}, n_shingles long, set_key binary, buckets array<long>, minima binary"
 
 
@@ -137,7 +145,7 @@ def _sketches(k: int, bands: int, rows: int):
                         h = _mix(h * _ODD[1] + row)
                     keys.append(xxhash.xxh3_128_digest(s.tobytes()))
                     buckets.append(h.view(np.int64))
-                    minima.append((sig & np.uint64(255)).astype(np.uint8).tobytes())
+                    minima.append((sig & np.uint64(255)).astype(np.uint8).tobytes() + h.astype(np.uint32).tobytes())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(buckets, pa.list_(pa.int64())), pa.array(minima, pa.binary())], ["id", "n_shingles", "set_key", "buckets", "minima"])
 
     return run
@@ -190,8 +198,11 @@ def _blocks(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[tuple
         yield now, rows
 
 
-def _promising(least: float):
-    """(bucket, i, j, id, comp, minima) to those rows whose signature agrees with one of another component."""
+def _promising(least: float, bands: int):
+    """(bucket, i, j, id, comp, minima, band) to those rows whose signature agrees with one of another component.
+
+    Two rows that have the same bucket in an earlier band have met there.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds, out = None, []
@@ -205,22 +216,24 @@ def _promising(least: float):
         def flush() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kinds[i]) for i in range(5)], ["bucket", "i", "j", "id", "comp"])
 
-        for key, rows in _blocks(seen(batches), 3):
-            sig = np.frombuffer(b"".join(r[2] for r in rows), np.uint8).reshape(len(rows), -1)
-            comps = [r[1] for r in rows]
+        for key, members in _blocks(seen(batches), 3):
+            raw = np.frombuffer(b"".join(r[2] for r in members), np.uint8).reshape(len(members), -1)
+            sig, buckets = raw[:, : -4 * bands], np.ascontiguousarray(raw[:, -4 * bands :]).view(np.uint32)
+            comps, before = [r[1] for r in members], min(r[3] for r in members)
             number = {c: n for n, c in enumerate(dict.fromkeys(comps))}
             if len(number) < 2:
                 continue
             comp = np.array([number[c] for c in comps])
             # chance agreement of one byte in 256 counts in the pair's favour
-            need, hit = least * sig.shape[1], np.zeros(len(rows), bool)
+            need, hit = least * sig.shape[1], np.zeros(len(members), bool)
             main = np.bincount(comp).argmax()
             for x in np.flatnonzero(comp != main).tolist():
                 good = np.flatnonzero(((sig == sig[x]).sum(axis=1) >= need) & (comp != comp[x]))
+                good = good[~(buckets[good, :before] == buckets[x, :before]).any(axis=1)]
                 if len(good):
                     hit[x] = True
                     hit[good] = True
-            out += [(*key, rows[i][0], rows[i][1]) for i in np.flatnonzero(hit).tolist()]
+            out += [(*key, members[i][0], members[i][1]) for i in np.flatnonzero(hit).tolist()]
             if len(out) > 5000:
                 yield flush()
                 out = []
@@ -231,7 +244,7 @@ def _promising(least: float):
 
 
 def _confirm(percent: int):
-    """(bucket, i, j, id, comp, members) to links (u, v) that join components of a block."""
+    """(bucket, i, j, id, comp, members) to pairs (u, v) of components of a block that a link joins."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind, out = None, []
@@ -239,7 +252,7 @@ def _confirm(percent: int):
         def seen(bs):
             nonlocal kind
             for b in bs:
-                kind = b.schema.field(3).type
+                kind = b.schema.field(4).type
                 yield b
 
         for _, rows in _blocks(seen(batches), 3):
@@ -264,21 +277,27 @@ def _confirm(percent: int):
                 linked = np.flatnonzero((100 * shared >= percent * (size + size[x] - shared)) & (comp != comp[x]))
                 for y in linked.tolist():
                     if joined.join(comps[x], comps[y]):
-                        out.append((ids[x], ids[y]))
+                        out.append((comps[x], comps[y]))
         if out:
             yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in out], kind), pa.array([v for _, v in out], kind)], ["u", "v"])
 
     return run
 
 
+def _open(members: DataFrame) -> DataFrame:
+    """(b, all, mains, main): buckets of members (bucket, id, comp) with several components, the largest being main."""
+    by = members.groupBy("bucket", "comp").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.sum("n").alias("all"), F.max(F.struct("n", "comp")).alias("top"))
+    return materialize(by.where("all > top.n").select(F.col("bucket").alias("b"), "all", F.col("top.n").alias("mains"), F.col("top.comp").alias("main")), "open")
+
+
 def _spread(members: DataFrame, block: int) -> DataFrame:
-    """Members (bucket, id, comp, minima) of buckets with several components, dealt to blocks (i, j).
+    """Members (bucket, id, comp) of buckets with several components, dealt to blocks (i, j).
 
     Every pair of different components meets in a block of about 2 x block rows at most. Only members
     outside the bucket's largest component are copied to several blocks of it.
     """
-    by = members.groupBy("bucket", "comp").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.sum("n").alias("all"), F.max(F.struct("n", "comp")).alias("top"))
-    open_ = materialize(by.where("all > top.n").select(F.col("bucket").alias("b"), F.col("top.comp").alias("main"), F.ceil((F.col("all") - F.col("top.n")) / block).cast("int").alias("rest"), F.ceil(F.col("top.n") / block).cast("int").alias("mains"), (F.col("all") <= 2 * block).alias("small")), "open")
+    blocks = lambda n: F.ceil(n / block).cast("int")
+    open_ = _open(members).select("b", "main", (F.col("all") <= 2 * block).alias("small"), blocks(F.col("all") - F.col("mains")).alias("rest"), blocks(F.col("mains")).alias("mains"))
     m = members.join(open_, F.col("bucket") == F.col("b")).withColumn("out", F.col("comp") != F.col("main"))
     own = F.pmod(F.xxhash64("id"), F.when(F.col("out"), F.col("rest")).otherwise(F.col("mains"))).cast("int")
     m = m.withColumn("own", own)
@@ -287,7 +306,46 @@ def _spread(members: DataFrame, block: int) -> DataFrame:
     of_rest = F.concat(F.transform(rest, lambda x: pair(F.least("own", x), F.greatest("own", x))), F.transform(F.sequence(F.lit(0), F.col("mains") - 1), lambda j: pair(F.col("own"), F.col("rest") + j)))
     of_main = F.transform(rest, lambda i: pair(i, F.col("rest") + F.col("own")))
     where = F.when(F.col("small"), F.array(pair(F.lit(0), F.lit(0)))).when(F.col("out"), of_rest).otherwise(of_main)
-    return m.withColumn("at", F.explode(where)).select("bucket", "at.i", "at.j", "id", "comp", "minima")
+    return m.withColumn("at", F.explode(where)).select("bucket", "at.i", "at.j", F.lit(0).alias("band"), "id", "comp")
+
+
+def _by_rare_shingles(crowd: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(bucket, id, comp): documents (id, comp) by the rare shingles, as buckets, that linked ones share.
+
+    Shingles stand in one order, by how many of these documents hold them and then by value; so those of
+    a single document come first. Of two linked documents x and y, the first shingle that they share
+    has the rest of the intersection behind it: fewer than n - at shingles of either.
+    """
+    of = crowd.join(sets, "id").withColumn("s", F.xxhash64("members")).dropDuplicates(["id", "s"]).withColumn("n", F.size("members").cast("long"))
+    held = of.select("id", "s", F.explode("members").alias("bucket"))
+    shared = materialize(held.groupBy("bucket").agg(F.count("*").alias("df")).where("df > 1").withColumnRenamed("bucket", "b"), "shingles")
+    held = held.join(shared, F.col("bucket") == F.col("b")).select("id", "s", "bucket", "df")
+    own = held.groupBy("id", "s").agg(F.count("*").alias("c"))
+    # the first positions of a document, where a link to any other shows, and to one no smaller than itself
+    any_, low = (F.col("n") - F.ceil(percent * F.col("n") / 100) + 1), (F.col("n") - F.ceil(2 * percent * F.col("n") / (100 + percent)) + 1)
+    near = materialize(of.join(own, ["id", "s"]).select("id", "s", "comp", "n", (F.col("n") - F.col("c")).alias("u"), any_.alias("any"), low.alias("low")).where(F.col("u") < F.col("any")), "near")
+    place = F.row_number().over(Window.partitionBy("id", "s").orderBy("df", "bucket"))
+    keys = held.join(near, ["id", "s"]).withColumn("at", F.col("u") + place - 1).where(F.col("at") < F.col("any"))
+    keys = materialize(keys.select("bucket", "id", "comp", "n", "at", (F.col("at") < F.col("low")).alias("early")), "rare")
+    groups = keys.groupBy("bucket").agg(F.min("n").alias("least"), F.min(F.when(F.col("early"), F.col("n"))).alias("early_least"), F.min("comp").alias("a"), F.max("comp").alias("z"))
+    groups = materialize(groups.where("a < z and early_least is not null").select(F.col("bucket").alias("b"), "least", "early_least"), "groups")
+    # the smallest partner that there may be here
+    other = F.greatest(F.ceil(percent * F.col("n") / 100), F.when(F.col("early"), F.col("least")).otherwise(F.col("early_least")))
+    fits = percent * (F.col("n") + other) <= (100 + percent) * (F.col("n") - F.col("at"))
+    return keys.join(groups, F.col("bucket") == F.col("b")).where(fits).select("bucket", "id", "comp").distinct()
+
+
+def _to_search(labelled: DataFrame, sets: DataFrame, percent: int, block: int) -> DataFrame:
+    """(bucket, i, j, band, id, comp) of what is compared, from members (bucket, band, id, comp)."""
+    open_ = _open(labelled)
+    few = open_.where(F.col("all") <= 2 * block).select("b")
+    here = labelled.join(few, F.col("bucket") == F.col("b")).select("bucket", F.lit(0).alias("i"), F.lit(0).alias("j"), "band", "id", "comp")
+    many = open_.where(F.col("all") > 2 * block).select("b")
+    if many.isEmpty():
+        return here
+    crowd = materialize(labelled.join(many, F.col("bucket") == F.col("b")).select("id", "comp").distinct(), "crowd")
+    rare = materialize(_by_rare_shingles(crowd, sets, percent), "dealt")
+    return here.unionByName(_spread(rare, block))
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK) -> DataFrame:
@@ -308,9 +366,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     nodes = known.join(named, (F.col("set_key") == F.col("k")) & (F.col("id") == F.col("rep"))).groupBy("id").agg(F.flatten(F.collect_set("buckets")).alias("buckets"), F.collect_set("minima").alias("minima"))
 
     # buckets with several nodes, by their smallest
-    entries = nodes.select("id", F.explode(F.array_distinct("buckets")).alias("bucket"))
+    banded = F.array_distinct(F.transform("buckets", lambda x, i: F.struct(x.alias("bucket"), (i % bands).cast("int").alias("band"))))
+    entries = nodes.select("id", F.explode(banded).alias("x")).select("id", "x.bucket", "x.band")
     shared = entries.groupBy("bucket").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select(F.col("bucket").alias("b"), "least")
-    members = materialize(entries.join(shared, F.col("bucket") == F.col("b")).select("bucket", "id", "least"), "members")
+    members = materialize(entries.join(shared, F.col("bucket") == F.col("b")).select("bucket", "band", "id", "least"), "members")
 
     # full sets of all nodes that share a bucket
     ids = members.select("id").distinct()
@@ -336,16 +395,16 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     # then: whatever else shares a bucket across components
     comp = parts.select(F.col("id").alias("c"), "component")
-    labelled = members.select("bucket", "id").join(comp, F.col("id") == F.col("c"), "left").select("bucket", "id", F.coalesce("component", "id").alias("comp"))
-    spread = _spread(labelled.join(nodes.select("id", F.explode("minima").alias("minima")), "id"), block)
+    labelled = members.select("bucket", "band", "id").join(comp, F.col("id") == F.col("c"), "left").select("bucket", "band", "id", F.coalesce("component", "id").alias("comp"))
     at = ["bucket", "i", "j"]
-    promising = materialize(spread.repartition(*at).sortWithinPartitions(*at).mapInArrow(_promising(percent / 100 - SLACK), f"bucket long, i int, j int, id {kind}, comp {kind}"), "promising")
+    search = _to_search(labelled, sets, percent, block).join(nodes.select("id", F.explode("minima").alias("minima")), "id").select(*at, "id", "comp", "minima", "band")
+    promising = materialize(search.repartition(*at).sortWithinPartitions(*at).mapInArrow(_promising(percent / 100 - SLACK, bands), f"bucket long, i int, j int, id {kind}, comp {kind}"), "promising")
     whole = promising.join(sets, "id").select(*at, "id", "comp", "members")
     second = materialize(whole.repartition(*at).sortWithinPartitions(*at).mapInArrow(_confirm(percent), f"u {kind}, v {kind}"), "links")
-    joined = connected_components(first.unionByName(second)) if not second.isEmpty() else parts
-    joined = materialize(joined, "components") if joined is not parts else parts
+    joined = materialize(connected_components(second), "components").select(F.col("id").alias("j"), F.col("component").alias("into"))
 
-    group = reps.join(joined.withColumnRenamed("id", "i"), F.col("rep") == F.col("i"), "left").select(F.col("set_key").alias("k"), F.coalesce("component", "rep").alias("group"))
+    group = reps.join(comp, F.col("rep") == F.col("c"), "left").select(F.col("set_key").alias("k"), F.coalesce("component", "rep").alias("part"))
+    group = group.join(joined, F.col("part") == F.col("j"), "left").select("k", F.coalesce("into", "part").alias("group"))
     group = materialize(group, "groups")
     rows_ = sketches.join(group, F.col("set_key") == F.col("k"), "left").withColumn("component_id", F.coalesce("group", F.when(F.col("set_key").isNull(), F.col("id"))))
     return rows_.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))

@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from quillstone.llm import minhash
 from quillstone.llm.components import connected_components
 from quillstone.llm.minhash import near_dedup, near_duplicates, shingle_sets
 from tests.llm import helpers as h
@@ -39,6 +40,41 @@ def test_as_all_pairs(spark, seed, k, block):
     assert all(got[i] == (len(h.shingles(t, k)), want[i], want[i] == i) for i, t in rows)
 
 
+def templates(n, own, base=140, seed=5):
+    """Documents that share base words and own others: similar, but to less than 0.8 if own is large."""
+    rng = random.Random(seed)
+    shared = [f"shared{i}" for i in range(base)]
+    return [(i, " ".join(shared + [f"d{i}w{rng.randrange(10**6)}" for _ in range(own)])) for i in range(n)]
+
+
+@pytest.mark.parametrize(("block", "own"), [(10, 35), (10, 20), (5, 12)])
+def test_crowded_buckets_as_all_pairs(spark, block, own):
+    rng = random.Random(7)
+    rows = templates(120, own)
+    # some are near copies of others, some of a part of the template and of each other
+    rows += [(200 + i, " ".join(vary(rng, rows[i][1].split(), 2 + i % 5))) for i in range(30)] + [(300 + i, " ".join(rows[i][1].split()[i % 40 :])) for i in range(60)]
+    rows += [(400 + i, rows[i][1] + " " + " ".join(f"tail{j}" for j in range(i % 30))) for i in range(30)]
+    rng.shuffle(rows)
+    got = result(near_duplicates(h.docs(spark, rows), shingle=4, block=block))
+    assert {i: v[1] for i, v in got.items()} == h.components(rows, 4)
+
+
+def test_work_on_templates_grows_with_their_number(spark, monkeypatch):
+    """What is compared, in a bucket and across blocks, for documents of one template that link with none."""
+    old, counts = minhash._to_search, []
+
+    def counted(*args):
+        found = old(*args)
+        counts.append(found.count())
+        return found
+
+    monkeypatch.setattr(minhash, "_to_search", counted)
+    for n in (250, 500, 1000):
+        rows = [*templates(n, 35), (n, "some other text of its own")]
+        assert all(v[2] for v in result(near_duplicates(h.docs(spark, rows), shingle=4, block=50)).values())
+    assert counts[1] <= 2.5 * counts[0] + 200 and counts[2] <= 2.5 * counts[1] + 200
+
+
 def test_one_large_group_in_small_blocks(spark):
     rng = random.Random(9)
     base = [f"w{i}" for i in range(150)]
