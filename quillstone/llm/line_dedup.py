@@ -1,13 +1,15 @@
 """Line deduplication with two Bloom filters.
 
-Tasks put the hashes of their documents' lines into a once-seen and a twice-seen filter (bloom.py).
-Only lines that the merged twice-filter suspects are shuffled, with their whole key, to confirm that
-two documents hold them and to find the smallest document id. Documents then lose the confirmed keys.
+The hashes of all lines, dealt to tasks by value, go through once-seen filters; those met again make up the
+twice-seen filter, which all tasks test their lines with (bloom.py). Only lines that it suspects are
+shuffled, with their whole key, to confirm that two documents hold them and to find the smallest
+document id. Documents then lose the confirmed keys; those that lose nothing stay where they are.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -39,12 +41,26 @@ def keys_of(text: str | None, least: int) -> set[bytes]:
 def _hashes(least: int):
     def of(b: pa.RecordBatch) -> np.ndarray:
         h = xxhash.xxh3_64_intdigest
-        return np.fromiter((h(k) for t in b.column(0).to_pylist() if t for k in keys_of(t, least)), np.uint64)
+        return np.fromiter((h(k) for i in range(0, b.num_rows, 1000) for t in b.column(0).slice(i, 1000).to_pylist() if t for k in keys_of(t, least)), np.uint64)
 
     return of
 
 
-def _suspects(seen: bloom.Filter, least: int):
+def _slice_of(hashes: np.ndarray, slices: int) -> np.ndarray:
+    return (hashes * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(slices)
+
+
+def _in_slice(k: int, slices: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(_slice_of(b.column(0).to_numpy().view(np.uint64), slices) == k))
+
+    return run
+
+
+def _suspects(twice: bloom.Filter, least: int, k: int, slices: int):
+    """(id, key) of the lines in a slice of all hashes that the filter suspects."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h = xxhash.xxh3_64_intdigest
         for whole in batches:
@@ -56,30 +72,46 @@ def _suspects(seen: bloom.Filter, least: int):
                         ks = list(keys_of(t, least))
                         rows += [i] * len(ks)
                         keys += ks
-                hit = np.flatnonzero(seen.test(np.fromiter((h(k) for k in keys), np.uint64, len(keys))))
+                hashes = np.fromiter(map(h, keys), np.uint64, len(keys))
+                own = np.flatnonzero(_slice_of(hashes, slices) == k) if slices > 1 else np.arange(len(keys))
+                hit = own[twice.test(hashes[own])]
                 ids = b.column(1).take(pa.array([rows[i] for i in hit], pa.int32()))
                 yield pa.RecordBatch.from_arrays([ids, pa.array([keys[i].decode() for i in hit], pa.string())], ["id", "key"])
 
     return run
 
 
-def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, bits: int | None = None) -> DataFrame:
+def suspects(df: DataFrame, id_col: str, text_col: str, least: int, max_bits: int) -> DataFrame:
+    """(id, key) of all lines that may occur twice; those that do are all among them.
+
+    The twice-filter has 16 bits for each of its hashes. Where they need more than max_bits, they are
+    taken in slices by value, one after the other: each slice goes through all texts again.
+    """
+    text, kind = F.col(text_col), df.schema[id_col].dataType.simpleString()
+    twice = materialize(bloom.repeated(df.select(text), _hashes(least)), "repeated")
+    n = twice.count()
+    slices, found = max(1, -(-n * bloom.PER_KEY // max_bits)), []
+    for k in range(slices):
+        own = twice.mapInArrow(_in_slice(k, slices), "h long") if slices > 1 else twice
+        seen = bloom.build(own, bloom.bits_for(n // slices))
+        found.append(materialize(df.select(text, F.col(id_col).alias("id")).mapInArrow(_suspects(seen, least, k, slices), f"id {kind}, key string"), "suspects"))
+        seen.broadcast.unpersist()
+    return reduce(DataFrame.unionByName, found)
+
+
+def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, max_bits: int = bloom.MAX_BITS) -> DataFrame:
     """df with kept_text, n_lines and n_dropped.
 
     A text is its lines between \\n; null and empty texts are one empty line. A line's key is the line
     without white space at its ends, A-Z in lower case. Keys of at least min_chars code points that two
     or more ids hold lose all their lines except in the smallest id. Rows that share an id count as
     one document; a null id is greater than any other, and rows with null ids count as one document.
-    Columns named like a result are replaced. bits: size of the filters, by default 16 for each line
-    and bloom.MAX_BITS at most; fewer only mean more lines to confirm.
+    An empty table gives an empty table. Columns named like a result are replaced. max_bits: the
+    largest filter to broadcast; beyond it texts are gone through several times.
     """
     df = without(df, *RESULTS)
-    if bits is None:
-        n = df.agg(F.sum(F.length(text_col) - F.length(F.replace(F.col(text_col), F.lit("\n"), F.lit(""))) + 1)).first()[0]
-        bits = bloom.bits_for(n or 0)
-    text, id_type = F.col(text_col), df.schema[id_col].dataType.simpleString()
-    seen = bloom.build(df.select(text), _hashes(min_chars), bits)
-    found = materialize(df.select(text, F.col(id_col).alias("id")).mapInArrow(_suspects(seen, min_chars), f"id {id_type}, key string"), "suspects")
+    text = F.col(text_col)
+    found = suspects(df, id_col, text_col, min_chars, max_bits)
     first = found.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.bool_or(F.col("id").isNull()).alias("nulls"))
     # as a table of its own, the join below may split a key that very many documents hold
     first = materialize(first.where("least < most or (least is not null and nulls)").select(F.col("key").alias("dup"), "least"), "repeated")
@@ -88,6 +120,9 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
         .where(~F.col("id").eqNullSafe(F.col("least")))
         .groupBy(F.col("id").alias("__id")).agg(F.collect_set("key").alias("__drop"))
     )
+    drops = materialize(drops, "drops")
+    # documents that lose nothing aren't shuffled
+    loses = bloom.build(drops.select(F.xxhash64("__id").alias("h")), bloom.bits_for(drops.count())).column(F.xxhash64(id_col))
 
     @F.arrow_udf("struct<kept_text string, n_lines long, n_dropped long>")
     def lines(texts: pa.Array, gone: pa.Array) -> pa.Array:
@@ -102,5 +137,7 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
             dropped.append(len(old) - len(new))
         return pa.StructArray.from_arrays([pa.array(kept, pa.string()), pa.array(total, pa.int64()), pa.array(dropped, pa.int64())], ["kept_text", "n_lines", "n_dropped"])
 
-    out = df.join(drops, F.col(id_col).eqNullSafe(F.col("__id")), "left").withColumn("__r", lines(text, F.col("__drop")))
+    some = df.where(loses).join(drops, F.col(id_col).eqNullSafe(F.col("__id")), "left").select(*df.columns, "__drop")
+    rest = df.where(~loses).withColumn("__drop", F.lit(None).cast("array<string>"))
+    out = some.unionByName(rest).withColumn("__r", lines(text, F.col("__drop")))
     return out.select(*df.columns, *[F.col(f"__r.{c}").alias(c) for c in RESULTS])

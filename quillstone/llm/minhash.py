@@ -374,7 +374,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # full sets of all nodes that share a bucket
     ids = members.select("id").distinct()
     h = F.xxhash64("id")
-    needed = bloom.build(ids.select(h.alias("h")), lambda b: b.column(0).to_numpy(zero_copy_only=False).view(np.uint64), bloom.bits_for(ids.count()), "once")
+    needed = bloom.build(ids.select(h.alias("h")), bloom.bits_for(ids.count()))
     sets = docs.where("id is not null").select("id", "t", h.alias("h")).mapInArrow(_full_sets(shingle, needed), f"id {kind}, members array<long>")
     sets = materialize(sets.join(ids, "id", "left_semi"), "sets")
 

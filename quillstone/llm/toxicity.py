@@ -237,14 +237,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     labels = materialize(labels, "labels")
     # most rows have no label: a filter of the labelled ids keeps their texts out of the shuffle
     as_hash = F.xxhash64(F.col("__id"))
-    known = bloom.build(labels.select(as_hash.alias("h")), lambda b: b.column(0).to_numpy(zero_copy_only=False).view(np.uint64), bloom.bits_for(labels.count()), "once")
-
-    @F.arrow_udf("boolean")
-    def maybe(h: pa.Array) -> pa.Array:
-        return pa.array(known.test(h.to_numpy(zero_copy_only=False).view(np.uint64)))
-
+    known = bloom.build(labels.select(as_hash.alias("h")), bloom.bits_for(labels.count()))
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("__id"), F.coalesce(text_col, F.lit("")).alias("__t"))
-    rows = materialize(texts.where(maybe(as_hash)).join(labels, "__id"), "labelled")
+    rows = materialize(texts.where(known.column(as_hash)).join(labels, "__id"), "labelled")
     sizes = dict(rows.groupBy("__y").count().collect())
     nt, nc = sizes.get(1, 0), sizes.get(0, 0)
     f = Field()

@@ -17,8 +17,8 @@ ROWS = [
 
 
 def test_lines_as_plain(spark):
-    for bits in (None, 64 * 1024):
-        got = line_dedup(h.docs(spark, ROWS).repartition(4), bits=bits).select("doc_id", "kept_text", "n_lines", "n_dropped").collect()
+    for bits in (bloom.MAX_BITS, 40):  # 40: the filter in several slices
+        got = line_dedup(h.docs(spark, ROWS).repartition(4), max_bits=bits).select("doc_id", "kept_text", "n_lines", "n_dropped").collect()
         assert sorted(map(tuple, got)) == sorted(h.line_dedup(ROWS))
 
 
@@ -43,14 +43,24 @@ def test_lines_empty_and_clash(spark):
     assert out.columns[-3:] == ["kept_text", "n_lines", "n_dropped"] and {"key", "id"} <= set(out.columns) and out.where("n_lines >= 1").count() == len(ROWS)
 
 
-def test_pair_of_filters(spark):
+def test_once_and_twice_filters(spark):
     rng = np.random.default_rng(1)
-    once = rng.integers(0, 1 << 63, 4000, dtype=np.uint64)
+    once = rng.integers(0, 1 << 63, 40_000, dtype=np.uint64)
     twice = rng.integers(0, 1 << 63, 500, dtype=np.uint64)
     values = np.concatenate([once, twice, twice]).view(np.int64).tolist()
     df = spark.createDataFrame([(v,) for v in values], "h long").repartition(6)
-    f = bloom.build(df, lambda b: b.column(0).to_numpy().view(np.uint64), bloom.bits_for(len(values)))
-    assert f.test(twice).all() and f.test(once).mean() < 0.02 and not f.test(np.zeros(0, np.uint64)).any()
+    found = bloom.repeated(df, lambda b: b.column(0).to_numpy().view(np.uint64))
+    got = {r.h for r in found.collect()}
+    assert set(twice.view(np.int64).tolist()) <= got and len(got) < 500 + 0.02 * 40_000
+    f = bloom.build(found, bloom.bits_for(len(got)))
+    assert f.test(twice).all() and f.test(once).mean() < 0.04 and not f.test(np.zeros(0, np.uint64)).any()
+    assert df.where(f.column(F.col("h"))).count() >= 1000
+
+
+def test_seen_grows():
+    rng, seen = np.random.default_rng(2), bloom.Seen(1 << 16)
+    a, b = (np.unique(rng.integers(0, 1 << 63, 50_000, dtype=np.uint64)) for _ in range(2))
+    assert seen.add(a[:100]).sum() == 0 and seen.add(a[100:]).mean() < 0.02 and seen.add(a).all() and seen.add(b).mean() < 0.05 and seen.add(b).all() and len(seen.layers) > 3
 
 
 def exact_plain(rows):
