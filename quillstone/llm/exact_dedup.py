@@ -14,6 +14,7 @@ import os
 import pickle
 import tempfile
 from collections.abc import Iterator
+from sys import getsizeof
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -23,6 +24,8 @@ from quillstone.llm.common import materialize, normal_space, without
 
 RESULTS = ("keep_id", "group_size", "kept", "text_sha256")
 FANOUT = 16
+#: Bytes of an entry besides its strings: lists, numbers and slots.
+ENTRY = 300
 
 
 def _least(a, b):
@@ -44,7 +47,7 @@ class Table:
         if self.slots[at] < 0:
             self.slots[at] = len(self.entries)
             self.entries.append([key, text, least, n])
-            self.bytes += len(text) + len(key) + 200
+            self.bytes += getsizeof(text) + getsizeof(key) + ENTRY
         else:
             e = self.entries[self.slots[at]]
             e[2], e[3] = _least(e[2], least), e[3] + n
@@ -123,7 +126,7 @@ def _fold(budget: int):
                     e[0], e[1] = _least(e[0], i), e[1] + 1
                 else:
                     seen[(k, t)] = [i, 1]
-                    size += len(t)
+                    size += getsizeof(t) + getsizeof(k) + ENTRY
                     if size > budget:
                         yield out()
                         seen, size = {}, 0
@@ -164,7 +167,8 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n
     texts the row with the smallest id stays. Null texts count as empty. A null id is greater than any
     other: such a row stays (kept) only if all its group's ids are null. Rows that repeat an id of
     equal text are marked alike. Columns of df named like a result are replaced. key (lowercase hex)
-    may replace SHA-256; results don't depend on it. budget: bytes of text that a task holds.
+    may replace SHA-256; results don't depend on it. budget: bytes that a task holds, strings and
+    entries counted as Python holds them. An empty table gives an empty table.
     """
     df = without(df, *RESULTS)
     norm = normal_space(F.col(text_col)) if normal is None else normal

@@ -1,11 +1,13 @@
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from quillstone.llm import bloom
-from quillstone.llm.exact_dedup import Table, exact_dedup, grace
+from quillstone.llm.exact_dedup import Table, _fold, exact_dedup, grace
 from quillstone.llm.line_dedup import line_dedup
 from tests.llm import helpers as h
 
@@ -115,6 +117,17 @@ def test_grace_buckets(budget, tmp_path):
     assert got == want and not list(tmp_path.iterdir())
 
 
+def test_many_short_texts_stay_within_the_budget():
+    """Memory of folding and of the table, for texts of a few characters, as Python counts it."""
+    n, budget = 150_000, 4 << 20
+    batches = (pa.RecordBatch.from_arrays([pa.array([f"{i:064x}" for i in range(a, a + 10_000)]), pa.array([f"{i:05d}" for i in range(a, a + 10_000)]), pa.array(range(a, a + 10_000), pa.int64())], ["k", "t", "least"]) for a in range(0, n, 10_000))
+    tracemalloc.start()
+    rows = sum(b.num_rows for b in _fold(budget)(batches))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == n and most < 4 * budget
+
+
 def test_table_grows():
     t = Table()
     for i in range(5000):
