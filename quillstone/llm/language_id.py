@@ -104,10 +104,11 @@ class Model:
         """The words of texts and each one's language number."""
         w = Scan(texts, self.scores)
         score, n, k = w.of, len(w.doc), len(self.langs)
+        kind = np.min_scalar_type(max(0, k - 1))  # a byte for up to 256 languages
         if not n or not k:
-            return w, np.zeros(n, np.uint8)
-        chains, came = Chains(w.offset), np.zeros((n, k), np.uint8)
-        own = np.arange(k, dtype=np.uint8)
+            return w, np.zeros(n, kind)
+        chains, came = Chains(w.offset), np.zeros((n, k), kind)
+        own = np.arange(k, dtype=kind)
         best = None
         for m, at in chains.forward():
             if best is None:
@@ -120,7 +121,7 @@ class Model:
             came[at] = np.where(stay, own, top[:, None])
             best[:m] = np.where(stay, old, jump) + score[at]
         # best keeps the last step of every chain, however long it is
-        label, now = np.zeros(n, np.uint8), best.argmax(axis=1).astype(np.uint8)
+        label, now = np.zeros(n, kind), best.argmax(axis=1).astype(kind)
         for m, at in chains.backward():
             label[at] = now[:m]
             now[:m] = came[at, now[:m]]
@@ -189,7 +190,8 @@ def identify(df: DataFrame, model: Model, text_col: str = "text", switch: float
 
     Texts without letters, null ones among them, are `und` with score 0 and no spans; so is every
     text if the model knows no language. Of languages with equally many letters the first by name
-    is taken. Columns named like a result are replaced.
+    is taken, and of equally good labellings that which switches least to later names. Rows may repeat; an
+    empty table gives an empty table. Columns named like a result are replaced.
     """
     df = without(df, *RESULTS)
     shared = df.sparkSession.sparkContext.broadcast(model)

@@ -54,6 +54,22 @@ def test_viterbi_against_all_paths():
             assert abs(value(label[a:b].tolist(), a) - best) < 1e-3
 
 
+def test_three_hundred_languages():
+    rng = np.random.default_rng(6)
+    m = li.Model([f"l{i:03d}" for i in range(300)], rng.normal(size=(li.BUCKETS, 300)).astype(np.float32), np.ones((len(li.SCRIPTS) + 1, 300), bool))
+    texts = ["".join(chr(97 + x) for x in rng.integers(0, 26, 6)) for _ in range(60)]
+    w = Words(texts)
+    best = m.scores(w).argmax(axis=1)
+    assert best.max() > 255 and [p[0] for p in m.predict(texts)] == [m.langs[b] for b in best]
+
+
+def test_language_ties_repeats_and_long_texts(spark):
+    m = li.Model(["aa", "bb"], np.zeros((li.BUCKETS, 2), np.float32), np.ones((len(li.SCRIPTS) + 1, 2), bool))
+    rows = [(1, "some words"), (1, "some words"), (2, "w " * 100_000), (3, "x" * 100_000)]
+    got = [(r.doc_id, r.lang_pred, r.score, len(r.spans)) for r in li.identify(h.docs(spark, rows), m).collect()]
+    assert sorted(got) == [(1, "aa", 1.0, 1), (1, "aa", 1.0, 1), (2, "aa", 1.0, 1), (3, "aa", 1.0, 1)]
+
+
 def test_language_held_out_and_spans(spark):
     df = h.docs(spark, labelled())
     model = li.train(df.where(li.remainder(F.col("doc_id"), 3) != 1))
