@@ -32,6 +32,8 @@ REMEMBERED, RECALLED = 500_000, 1_500_000
 #: Bytes up to which pre-tokens are merged many at a time, how many are worth it, and the characters of
 #: the texts that they are looked up in together.
 SHORT, MANY, TOGETHER = 64, 2000, 3_000_000
+#: No entry of a hash, and that of another pre-token.
+ABSENT, CLASH = -1, -2
 #: Bits of a bitmap word; Python's integers can be as wide as that.
 SHIFT = 8
 WORD, MASK = 1 << SHIFT, (1 << SHIFT) - 1
@@ -259,12 +261,15 @@ class Vocabulary:
         s = Split(texts)
         first, of = s.distinct()
         at = self.memory.find(s.hash[first], s.check[first])
-        new = np.flatnonzero(at < 0)
+        # a hash that stands for another pre-token here: its texts go by their pre-tokens' text
+        s.mark_long(np.flatnonzero((at == CLASH)[of]))
+        new = np.flatnonzero(at == ABSENT)
         if len(self.memory.hash) + len(new) > RECALLED:
             self.memory, new = Memory(), np.arange(len(first))
         if len(new):
             self.memory.add(s.hash[first[new]], s.check[first[new]], self._ids_of([s.token(i) for i in first[new].tolist()]))
             at = self.memory.find(s.hash[first], s.check[first])
+        at = np.maximum(at, 0)  # those of a clash aren't used
         begin, count = self.memory.begin[at], self.memory.count[at]
         first_of = np.concatenate([[0], s.last])
         for i in range(0, len(texts), 200):
@@ -278,7 +283,7 @@ class Vocabulary:
                 yield ids[cuts[k] : cuts[k + 1]].tobytes() if i + k not in s.long else self._encode_with_long(texts[i + k])
 
     def _encode_with_long(self, text: str) -> bytes:
-        """A text with pre-tokens that are too long to be told apart by their numbers."""
+        """A text with pre-tokens that their numbers don't tell apart."""
         return b"".join(map(self.known.__getitem__, self.find(text)))
 
     def _ids_of(self, tokens: list[str]) -> list[bytes]:
@@ -331,7 +336,8 @@ class Split:
     """The pre-tokens of texts under PATTERN.
 
     start: where each begins among all code points; last: pre-tokens up to the end of each text; hash and
-    check: two numbers that tell short pre-tokens apart; long: texts that have pre-tokens of over SHORT code points.
+    check: two numbers that tell short pre-tokens apart; long: texts that are encoded by their pre-tokens' text, as
+    they have some of over SHORT code points, or of a hash that is another's.
     """
 
     def __init__(self, texts: list[str]):
@@ -378,12 +384,17 @@ class Split:
             out[at : at + len(start)] = np.where(length > SHORT, np.uint64(0), h ^ (h >> np.uint64(32)))
 
     def distinct(self) -> tuple[np.ndarray, np.ndarray]:
-        """The first place of each distinct pre-token, and which of them each one is."""
+        """The first place of each distinct pre-token, and which of them each one is.
+
+        Texts with a pre-token that shares its hash with another one are marked as long.
+        """
         _, first, of = np.unique(self.hash, return_index=True, return_inverse=True)
-        if not (self.check[first][of] == self.check).all():
-            raise ArithmeticError("two pre-tokens of one hash")
+        self.mark_long(np.flatnonzero(self.check[first][of] != self.check))
         return first, of
 
+    def mark_long(self, places: np.ndarray) -> None:
+        self.long.update(np.searchsorted(self.last, places, "right").tolist())
+
     def token(self, i: int) -> str:
         return self.text[self.start[i] : self.start[i] + self.length[i]]
 
@@ -396,14 +407,11 @@ class Memory:
         self.begin, self.count, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<u4")
 
     def find(self, hashes: np.ndarray, checks: np.ndarray) -> np.ndarray:
-        """Entries, -1 where there is none."""
+        """Entries; ABSENT where there is none, CLASH where it is another pre-token's."""
         if not len(self.hash):
-            return np.full(len(hashes), -1)
+            return np.full(len(hashes), ABSENT)
         at = np.minimum(np.searchsorted(self.hash, hashes), len(self.hash) - 1)
-        same = self.hash[at] == hashes
-        if not (self.check[at[same]] == checks[same]).all():
-            raise ArithmeticError("two pre-tokens of one hash")
-        return np.where(same, at, -1)
+        return np.where(self.hash[at] != hashes, ABSENT, np.where(self.check[at] == checks, at, CLASH))
 
     def add(self, hashes: np.ndarray, checks: np.ndarray, ids: list[bytes]) -> None:
         count = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
@@ -476,12 +484,14 @@ def encode(text: Column, path: str, pattern: str) -> Column:
 
 
 def decode(ids: Column, path: str, pattern: str) -> Column:
-    """The bytes that ids stand for. Null: none."""
+    """The bytes that ids, packed in a binary or as an array of int, stand for. Null: none."""
 
     @F.arrow_udf("binary")
     def out(batch: pa.Array) -> pa.Array:
         v = vocabulary(path, pattern)
-        return _binary(v.decode(i.as_buffer()) if i.is_valid else b"" for i in batch)
+        if not pa.types.is_list(batch.type):
+            return _binary(v.decode(i.as_buffer()) if i.is_valid else b"" for i in batch)
+        return _binary(v.decode(i.values.to_numpy().astype("<u4")) if i.is_valid else b"" for i in batch)
 
     return out(ids)
 
@@ -500,7 +510,8 @@ def encode_array(text: Column, path: str, pattern: str) -> Column:
 def bpe_round_trip(df: DataFrame, path: str, pattern: str, text_col: str = "text") -> DataFrame:
     """df with ids (binary), n_tokens and decoded (binary), which equals the text in UTF-8.
 
-    Special tokens are ordinary text. Columns named like a result are replaced.
+    Special tokens are ordinary text. Null and empty texts have no ids. Rows may repeat; an empty table
+    gives an empty table. Columns named like a result are replaced.
     """
     df = without(df, "ids", "n_tokens", "decoded")
     out = df.withColumn("ids", encode(F.col(text_col), path, pattern))

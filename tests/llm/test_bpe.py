@@ -112,3 +112,18 @@ def test_columns(spark):
     assert bpe_round_trip(h.docs(spark, []), PATH, PATTERN).count() == 0
     clash = bpe_round_trip(df.withColumn("IDS", df.doc_id), PATH, PATTERN)
     assert clash.columns[-3:] == ["ids", "n_tokens", "decoded"] and "IDS" not in clash.columns
+
+
+@pytest.mark.parametrize("few", [1, 97])
+def test_clashing_hashes_are_told_apart_by_text(both, monkeypatch, few):
+    number = bpe.Split._number
+
+    def clash(self, c, start, length, at):
+        number(self, c, start, length, at)
+        self.hash[at : at + len(start)] %= np.uint64(few)
+
+    monkeypatch.setattr(bpe.Split, "_number", clash)
+    v, rng = Vocabulary(both[0].ranks, PATTERN), random.Random(3)
+    for n in (1, 40, 40):
+        texts = [" ".join("".join(rng.choice("abcdé") for _ in range(rng.randint(1, 6))) for _ in range(rng.randint(0, 5))) for _ in range(n)] + ["", "x" * 200]
+        assert [np.frombuffer(x, "<u4").tolist() for x in v.encode_all(texts)] == [both[1].encode_ordinary(t) for t in texts]
