@@ -349,13 +349,14 @@ def _to_search(labelled: DataFrame, sets: DataFrame, percent: int, block: int) -
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK) -> DataFrame:
-    """A row for each row of df, with its id, n_shingles, component_id and kept.
+    """A row for each row of df, with its id, n_shingles, component_id and kept, and no other column.
 
     Two documents are linked if the intersection of their shingle sets is at least percent of the
     union. component_id: the smallest id that links reach, the own one included; kept: the own id is
     it. Documents without words are linked with nothing. Rows that repeat an id are one document, with
     the links of each text. A row with a null id has the component of documents with an equal set, if
-    there are any, and is not kept; else it is kept, with a null component_id.
+    there are any, and is not kept; else it is kept, with a null component_id. Texts of any length are
+    read whole. An empty table gives an empty table.
     """
     kind = df.schema[id_col].dataType.simpleString()
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
@@ -411,9 +412,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def near_dedup(df: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """df with one document of each group of near duplicates, that with the smallest id.
+    """df with one document of each group of near duplicates, that with the smallest id, and all its columns.
 
-    Rows with a null id stay.
+    Rows with a null id stay, and so do all rows that repeat an id which stays.
     """
     found = near_duplicates(df, id_col, **options)
     gone = materialize(found.where(~F.col("kept") & F.col(id_col).isNotNull()).select(F.col(id_col).alias("__gone")).distinct(), "gone")

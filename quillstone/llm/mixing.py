@@ -73,7 +73,10 @@ def mix_plan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
     size: words of the text (null: 0). taken: words that the mix takes of the row; the document at
     which a source's target is reached gives a part. positions: training times from 0 to 1, one for
     each pass that takes words of it; empty texts have none. Rows that repeat id, source and text are
-    taken alike. Null sources are one source. Columns named like a result are replaced.
+    taken alike, and rows that differ in one of them are units of their own. Null sources are one source,
+    and rows with a null id are ordered like those of empty id. A source without words has target 0. Ties
+    in the order are broken by id and text. An empty table gives an empty table. Columns named like a
+    result are replaced.
     """
     df = without(df, *RESULTS)
     mark = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
@@ -101,6 +104,10 @@ def mix_plan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
 
 
 def mix(df: DataFrame, **options) -> DataFrame:
-    """The training sequence: a row for each pass over each taken document, range-sorted by position."""
+    """The training sequence: a row for each pass over each taken document, range-sorted by position.
+
+    The document at which a source's target is reached comes whole, as a text isn't cut: a source has at
+    most the rest of that one document above its target. Rows that the mix takes nothing of are left out.
+    """
     plan = mix_plan(df, **options)
     return plan.withColumn("position", F.explode("positions")).drop("positions").orderBy("position", F.xxhash64(options.get("id_col", "doc_id")))

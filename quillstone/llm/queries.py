@@ -1,4 +1,9 @@
-"""Queries of the training-data operators, and their SQL where SQL can express them."""
+"""Queries of the training-data operators, and their SQL where SQL can express them.
+
+Each reads its whole table and returns a row for each of the table's rows; null texts count as empty, an
+empty table gives an empty result, further columns are left out, and rows that repeat an id each have a
+row of their own. What an operator makes of repeated and null ids is said in its docstring.
+"""
 
 from __future__ import annotations
 
@@ -81,7 +86,10 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
       FROM documents),
     s AS (
       SELECT source, sum(size)::BIGINT AS source_size,
-             [3, 1, 2][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS weight
+             [3, 1, 2][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS weight,
+             -- weight over training time: from w0 by slope, with an integral of 1
+             [0.5, 1, 1.5][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS w0,
+             [1, 0, -1][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS slope
       FROM d GROUP BY source),
     f AS (  -- sources in the order in which they reach twice their words, as the level rises
       SELECT 2.0 * source_size / weight AS full_at, sum(weight) OVER () AS all_weights,
@@ -90,19 +98,26 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
       FROM s WINDOW w AS (ORDER BY 2.0 * source_size / weight, source NULLS LAST ROWS UNBOUNDED PRECEDING)),
     l AS (SELECT arg_min(level, k) AS level
       FROM (SELECT (words - held)::DOUBLE / (all_weights - gone) AS level, full_at, k FROM f) WHERE level <= full_at),
-    t AS (SELECT source, source_size, CASE WHEN weight * level >= 2 * source_size THEN 2.0 * source_size ELSE weight * level END::DOUBLE AS target
+    t AS (SELECT source, source_size, w0, slope, CASE WHEN weight * level >= 2 * source_size THEN 2.0 * source_size ELSE weight * level END::DOUBLE AS target
       FROM s CROSS JOIN l),
     c AS (
       SELECT d.doc_id, size, source_size, target,
-             sum(size) OVER (PARTITION BY d.source ORDER BY md5(coalesce(doc_id::VARCHAR, '')), doc_id ROWS UNBOUNDED PRECEDING) - size AS before
-      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-    SELECT doc_id, size, source_size, target,
-           (greatest(0, least(size, floor(target)::BIGINT - before)) + greatest(0, least(size, floor(target)::BIGINT - source_size - before)))::BIGINT AS taken
-    FROM c""",
+             sum(size) OVER (PARTITION BY d.source ORDER BY md5(coalesce(doc_id::VARCHAR, '')), doc_id ROWS UNBOUNDED PRECEDING) - size AS before, w0, slope
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+    p AS (  -- words of each pass, and their middle's share of the source's demand
+      SELECT *, greatest(0, least(size, floor(target)::BIGINT - before)) AS words1, greatest(0, least(size, floor(target)::BIGINT - source_size - before)) AS words2,
+             (before + words1 / 2) / target AS y1, (before + source_size + words2 / 2) / target AS y2
+      FROM c)
+    SELECT doc_id, size, source_size, target, (words1 + words2)::BIGINT AS taken,
+           CASE WHEN words1 > 0 THEN 2 * y1 / (w0 + sqrt(greatest(w0 * w0 + 2 * slope * y1, 0))) END AS position,
+           CASE WHEN words2 > 0 THEN 2 * y2 / (w0 + sqrt(greatest(w0 * w0 + 2 * slope * y2, 0))) END AS position_again
+    FROM p""",
 )
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """position, position_again: training times of the passes over a document, null where the mix takes nothing."""
     plan = mix_plan(table(spark, sf_dir, "documents"))
-    return plan.orderBy(F.get("positions", F.lit(0)).asc_nulls_last(), "doc_id").select("doc_id", "size", "source_size", "target", "taken")
+    plan = plan.withColumn("position", F.get("positions", F.lit(0))).withColumn("position_again", F.get("positions", F.lit(1)))
+    return plan.orderBy(F.col("position").asc_nulls_last(), "doc_id").select("doc_id", "size", "source_size", "target", "taken", "position", "position_again")
 
 
 @query("op7_sharding")
@@ -124,7 +139,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("held_out", remainder(F.col("doc_id"), 3) == 1)
     model = train(docs.where("not held_out"))
-    return identify(docs, model, spans=False).select("doc_id", "held_out", "lang_pred", "score")
+    return identify(docs, model).select("doc_id", "held_out", "lang_pred", "score", "spans")
 
 
 @query("op3_toxicity")
@@ -132,8 +147,8 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("held_out", remainder(F.col("doc_id"), 5) == 0)
     labels = table(spark, sf_dir, "labels").where(remainder(F.col("doc_id"), 5) != 0)
     model = toxicity.train(docs.where("not held_out"), labels)
-    out = toxicity.score(docs, model, spans=False)
-    return out.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    out = toxicity.score(docs, model)
+    return out.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "toxic_words", "spans")
 
 
 @query("op9_minhash")

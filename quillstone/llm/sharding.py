@@ -23,7 +23,11 @@ def rendezvous(key: Column, shards: Mapping[int, float]) -> Column:
 
 
 def assign(df: DataFrame, shards: Mapping[int, float], key_col: str = "doc_id", name: str = "shard") -> DataFrame:
-    """df with each row's shard; rows don't move. A column of this name is replaced."""
+    """df with each row's shard; rows don't move.
+
+    The key alone decides: rows that repeat a key share a shard, null keys among them. Of equal draws the
+    smallest shard wins. An empty table gives an empty table. A column of this name is replaced.
+    """
     return without(df, name).withColumn(name, rendezvous(F.col(key_col), shards))
 
 
@@ -31,6 +35,7 @@ def slots(df: DataFrame, order: list[str], shard_col: str = "shard", name: str =
     """df with each row's number within its shard, from 0 without gaps, in this order.
 
     Numbers are counted over range partitions, so a shard needn't fit a task. Rows that agree in all
-    of order share out their numbers. Pass narrow rows: df is shuffled and written once.
+    of order share out their numbers. Null shards are a shard, nulls in order come first. An empty table
+    gives an empty table, a column of this name is replaced. Pass narrow rows: df is shuffled and written once.
     """
     return running(without(df, name), [shard_col], [F.col(c) for c in order], F.lit(1), name)

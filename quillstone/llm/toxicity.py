@@ -232,6 +232,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     at least, or all its rows if they are fewer; scores are put back to the
     shares of all rows, while the probabilities of words stay those at the sample's shares. Without toxic rows, or without
     others, the field calls nothing toxic. A lexicon of more than lexicon_words is read in slices.
+    Rows with a null id or without a label are left out; of several labels of an id the largest counts,
+    and each row that repeats an id counts. Null texts are empty. Empty tables teach nothing.
     """
     labels = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).cast("long").alias("__y"))
     labels = materialize(labels, "labels")
@@ -327,7 +329,8 @@ def _marked(df: DataFrame, model: Field, text_col: str) -> DataFrame:
 def score(df: DataFrame, model: Field, text_col: str = "text", spans: bool = True) -> DataFrame:
     """df with score (0 to 1), toxic_words (expected number) and spans (start, end, probability).
 
-    Null and empty texts score as texts without words. Columns named like a result are replaced.
+    Null and empty texts score as texts without words, whole texts of any length as one chain. Rows may
+    repeat. An empty table gives an empty table. Columns named like a result are replaced.
     """
     df = without(df, *RESULTS)
     columns, marked = df.columns, model.table is not None

@@ -48,8 +48,8 @@ def test_as_plain(spark, tmp_path):
     rows = mixed([r for r in rows if first[r[0]] == r[0]])
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     t = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=vocabulary(path, public_tokenizers.PATTERN).ranks, special_tokens={})
-    want = Counter((i, lang, s, tuple(t.encode_ordinary(text))) for i, text, lang, s in rows)
-    assert Counter((r.doc_id, r.lang, r.source, tuple(r.ids)) for r in got) == want and all(r.n_tokens == len(r.ids) for r in got)
+    want = Counter((i, lang, s, tuple(t.encode_ordinary(text)), hashlib.sha256(text.encode()).hexdigest()) for i, text, lang, s in rows)
+    assert Counter((r.doc_id, r.lang, r.source, tuple(r.ids), r.decoded_sha256) for r in got) == want and all(r.n_tokens == len(r.ids) for r in got)
 
 
 def test_stages_keep_the_columns_of_documents(spark, tmp_path):
