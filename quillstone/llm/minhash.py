@@ -29,7 +29,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from quillstone.llm import bloom
 from quillstone.llm.common import SPACE_BYTES, materialize
@@ -40,6 +39,8 @@ BANDS, ROWS = 34, 5
 BLOCK = 250
 #: Signatures may estimate a similarity so much below the threshold; six standard deviations.
 SLACK = 0.2
+#: Numbers of documents by which shingles of crowded buckets are told rare from common.
+LEVELS = (2, 8, 64, 512, 4096)
 #: Shared buckets from which the first step compares a pair.
 SHARED = 4
 
@@ -309,30 +310,57 @@ def _spread(members: DataFrame, block: int) -> DataFrame:
     return m.withColumn("at", F.explode(where)).select("bucket", "at.i", "at.j", F.lit(0).alias("band"), "id", "comp")
 
 
+def _first_shingles(filters: list[bloom.Filter], percent: int):
+    """(id, comp, members) to (bucket, id, comp, n, at, early): the shingles by which links to a document show.
+
+    A shingle's level is the number of filters that know it; those of level 0 are held by one document only,
+    and lead to no other. early: a link to a document that isn't smaller shows here as well.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for i in range(0, whole.num_rows, 200):
+                b, rows, found, n_of, at_of, early = whole.slice(i, 200), [], [], [], [], []
+                sets = [x.values.to_numpy().view(np.uint64) for x in b.column(2)]
+                levels = sum(f.test(np.concatenate(sets)).astype(np.int64) for f in filters)
+                for row, (own, level) in enumerate(zip(sets, np.split(levels, np.cumsum([len(x) for x in sets])[:-1]), strict=True)):
+                    n = len(own)
+                    first, low = n - -(-percent * n // 100) + 1, n - -(-2 * percent * n // (100 + percent)) + 1
+                    at = np.arange(np.count_nonzero(level == 0), first)
+                    if len(at):
+                        found.append(own[np.lexsort((own, level))[at]])
+                        rows += [row] * len(at)
+                        n_of += [n] * len(at)
+                        at_of.append(at)
+                        early.append(at < low)
+                if rows:
+                    pick = pa.array(rows, pa.int32())
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), b.column(0).take(pick), b.column(1).take(pick), pa.array(n_of, pa.int64()), pa.array(np.concatenate(at_of)), pa.array(np.concatenate(early))], ["bucket", "id", "comp", "n", "at", "early"])
+
+    return run
+
+
 def _by_rare_shingles(crowd: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(bucket, id, comp): documents (id, comp) by the rare shingles, as buckets, that linked ones share.
 
-    Shingles stand in one order, by how many of these documents hold them and then by value; so those of
-    a single document come first. Of two linked documents x and y, the first shingle that they share
-    has the rest of the intersection behind it: fewer than n - at shingles of either.
+    Shingles stand in one order, by how many of these documents hold them, roughly, and then by value; so
+    those of a single document come first. Of two linked documents, the first shingle that they share
+    has the rest of the intersection behind it: at most n - at shingles of either.
     """
-    of = crowd.join(sets, "id").withColumn("s", F.xxhash64("members")).dropDuplicates(["id", "s"]).withColumn("n", F.size("members").cast("long"))
-    held = of.select("id", "s", F.explode("members").alias("bucket"))
-    shared = materialize(held.groupBy("bucket").agg(F.count("*").alias("df")).where("df > 1").withColumnRenamed("bucket", "b"), "shingles")
-    held = held.join(shared, F.col("bucket") == F.col("b")).select("id", "s", "bucket", "df")
-    own = held.groupBy("id", "s").agg(F.count("*").alias("c"))
-    # the first positions of a document, where a link to any other shows, and to one no smaller than itself
-    any_, low = (F.col("n") - F.ceil(percent * F.col("n") / 100) + 1), (F.col("n") - F.ceil(2 * percent * F.col("n") / (100 + percent)) + 1)
-    near = materialize(of.join(own, ["id", "s"]).select("id", "s", "comp", "n", (F.col("n") - F.col("c")).alias("u"), any_.alias("any"), low.alias("low")).where(F.col("u") < F.col("any")), "near")
-    place = F.row_number().over(Window.partitionBy("id", "s").orderBy("df", "bucket"))
-    keys = held.join(near, ["id", "s"]).withColumn("at", F.col("u") + place - 1).where(F.col("at") < F.col("any"))
-    keys = materialize(keys.select("bucket", "id", "comp", "n", "at", (F.col("at") < F.col("low")).alias("early")), "rare")
+    of = materialize(crowd.join(sets, "id").select("id", "comp", "members"), "crowd")
+    shared = materialize(of.select(F.explode("members").alias("h")).groupBy("h").agg(F.count("*").alias("df")).where("df > 1"), "shingles")
+    counts = shared.agg(*[F.count_if(F.col("df") >= least) for least in LEVELS]).first()
+    filters = [bloom.build(shared.where(F.col("df") >= least), bloom.bits_for(n)) for least, n in zip(LEVELS, counts, strict=True) if n]
+    if not filters:
+        return of.select(F.lit(0).cast("long").alias("bucket"), "id", "comp").limit(0)
+    kind = crowd.schema["id"].dataType.simpleString()
+    keys = materialize(of.mapInArrow(_first_shingles(filters, percent), f"bucket long, id {kind}, comp {kind}, n long, at long, early boolean"), "rare")
     groups = keys.groupBy("bucket").agg(F.min("n").alias("least"), F.min(F.when(F.col("early"), F.col("n"))).alias("early_least"), F.min("comp").alias("a"), F.max("comp").alias("z"))
     groups = materialize(groups.where("a < z and early_least is not null").select(F.col("bucket").alias("b"), "least", "early_least"), "groups")
     # the smallest partner that there may be here
     other = F.greatest(F.ceil(percent * F.col("n") / 100), F.when(F.col("early"), F.col("least")).otherwise(F.col("early_least")))
     fits = percent * (F.col("n") + other) <= (100 + percent) * (F.col("n") - F.col("at"))
-    return keys.join(groups, F.col("bucket") == F.col("b")).where(fits).select("bucket", "id", "comp").distinct()
+    return keys.join(groups, (F.col("bucket") == F.col("b")) & fits).select("bucket", "id", "comp").distinct()
 
 
 def _to_search(labelled: DataFrame, sets: DataFrame, percent: int, block: int) -> DataFrame:
