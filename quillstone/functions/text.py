@@ -66,6 +66,11 @@ def _text_of(df_types: dict[str, str], name: str) -> Column:
     return c.cast("string")
 
 
+def bounded(value: Column, most: int = 4000) -> Column:
+    """The first most characters of a text that is to be bound; null stays null."""
+    return F.substring(value, 1, most)
+
+
 def bind_text(template: str, types: dict[str, str]) -> Column:
     """The template with each variable replaced by its field: null becomes `(unknown)`, an array its
     values with commas. types: of the table's columns, as in dict(df.dtypes)."""

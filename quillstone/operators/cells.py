@@ -11,7 +11,8 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from quillstone.operators.tables import running
 
 CELLS = """column_id string, row_id string, prompt_version int, model string, row_content_hash string, status string,
 value string, rationale string, error string, attempts long, input_tokens long, output_tokens long, cost_usd double,
@@ -125,11 +126,18 @@ def version_state(cells: DataFrame) -> DataFrame:
 
 
 def run_windows(ledger: DataFrame, cells: DataFrame) -> DataFrame:
-    """Cells written between one run of a column and the run before it: first, last, how many, how many done."""
-    by = Window.partitionBy("column_id").orderBy("at", "id")
-    runs = ledger.where("kind = 'run'").withColumn("since", F.lag("at").over(by)).select(F.col("id").alias("run_id"), F.col("column_id").alias("c"), "at", "since")
-    inside = (F.col("column_id") == F.col("c")) & (F.col("updated_at") <= F.col("at")) & (F.col("since").isNull() | (F.col("updated_at") > F.col("since")))
-    return runs.join(cells, inside, "left").groupBy("run_id").agg(F.min("updated_at").alias("first_at"), F.max("updated_at").alias("last_at"), F.count("row_id").alias("n"), F.count_if(F.col("status") == "done").alias("done"))
+    """Cells written between one run of a column and the run before it: first, last, how many, how many done.
+
+    Each row's number is how many runs of its column come before it, counted over range partitions: a
+    cell belongs to the run of the same number, and a column of any size needn't fit a task. Of runs at
+    the same time the first by id has the cells.
+    """
+    runs = ledger.where("kind = 'run' and at is not null").select("column_id", F.col("at").alias("time"), F.lit(1).alias("is_run"), F.col("id").alias("run_id"), F.lit(None).cast("string").alias("status"))
+    written = cells.where("updated_at is not null").select("column_id", F.col("updated_at").cast(runs.schema["time"].dataType).alias("time"), F.lit(0).alias("is_run"), F.col("row_id").alias("run_id"), "status")
+    numbered = running(runs.unionByName(written), ["column_id"], [F.col("time"), F.col("is_run"), F.col("run_id"), F.col("status")], F.col("is_run"), "k")
+    between = numbered.where("is_run = 0").groupBy(F.col("column_id").alias("c"), F.col("k").alias("j")).agg(F.min("time").alias("first_at"), F.max("time").alias("last_at"), F.count("*").alias("n"), F.count_if(F.col("status") == "done").alias("done"))
+    out = numbered.where("is_run = 1").join(between, (F.col("column_id") == F.col("c")) & (F.col("k") == F.col("j")), "left")
+    return out.select("run_id", "first_at", "last_at", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("done", F.lit(0)).alias("done"))
 
 
 class Store:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from dataclasses import replace
 
 import numpy as np
 import pandas as pd
@@ -11,9 +12,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillstone.functions import bounds
-from quillstone.operators.certify import Procedure, decide, looks_of, plan_looks, strata_sizes
+from quillstone.functions.rng import hash_order
+from quillstone.operators.certify import Procedure, decide, looks_of, plan_looks, ranked, strata_sizes
 from quillstone.operators.ranks import nearest_ranks
-from quillstone.operators.tables import running
+from quillstone.operators.tables import before, running
 
 
 # labels
@@ -249,6 +251,37 @@ def kappa(rows: DataFrame, a: str, b: str) -> DataFrame:
     return s.select("n", "agree", F.when(chance < 1, (F.col("agree") - chance) / (1 - chance)).otherwise(1.0).alias("kappa"))
 
 
+def failure_as_flip(cells: DataFrame, part: str) -> DataFrame:
+    """By part: cells, those without a fresh value (flip is null), and the flip rate if they are left out
+    and if each counts as a flip."""
+    n, failed = F.count("*"), F.count_if(F.col("flip").isNull())
+    return cells.groupBy(part).agg(n.alias("n"), failed.alias("failed"), F.avg("flip").alias("rate_without"), F.avg(F.coalesce("flip", F.lit(1))).alias("rate_as_flips"))
+
+
+def subgroup_error(cells: DataFrame, decisions: DataFrame, drawn: DataFrame, part: str) -> DataFrame:
+    """What a certificate over all cells leaves in each subgroup: cells that are reused, and how many of
+    them flip. cells: row_id, flip and part, of one stratum; drawn: row_id of those that were sampled."""
+    kept = cells.join(decisions.where("certified").limit(1).select(F.lit(True).alias("c")), F.lit(True), "left_semi").join(drawn.select("row_id"), "row_id", "left_anti")
+    reused = kept.groupBy(F.col(part).alias("__part")).agg(F.count("*").alias("reused"), F.sum(F.coalesce("flip", F.lit(1))).alias("flips"))
+    return cells.select(part).distinct().join(reused, F.col(part).eqNullSafe(F.col("__part")), "left").select(part, F.coalesce("reused", F.lit(0)).alias("reused"), F.coalesce("flips", F.lit(0)).alias("flips"))
+
+
+def bound_ablation(cells: DataFrame, p: Procedure, names: Sequence[str], alphas: Sequence[float]) -> DataFrame:
+    """For each bound and alpha: strata that are certified, cells that are sampled, recomputed and reused, and
+    savings. One order of the cells serves all."""
+    sizes = strata_sizes(cells)
+    rows = [(b, a, *look) for b in names for a in alphas for look in plan_looks(sizes, replace(p, bound=b, alpha=a))]
+    at = cells.sparkSession.createDataFrame(rows, "bound string, alpha double, s string, size long, look int, n long, k_max long")
+    ranks = ranked(cells, hash_order(p.seed, F.col("row_id")), max((r[5] for r in rows), default=0), max(sizes.values(), default=0))
+    seen = ranks.join(at, (F.col("stratum") == F.col("s")) & (F.col("place") == F.col("n")))
+    seen = seen.withColumn("certified", F.col("flips") <= F.col("k_max")).withColumn("stops", F.col("certified") | (F.col("flips") > F.col("alpha") * F.col("n")))
+    first = F.min_by(F.struct("size", "n", "certified"), F.struct(F.when(F.col("stops"), 0).otherwise(1), F.when(F.col("stops"), F.col("look")).otherwise(-F.col("look"))))
+    each = seen.groupBy("bound", "alpha", "stratum").agg(first.alias("x")).select("bound", "alpha", "x.*")
+    rest = F.col("size") - F.col("n")
+    out = each.groupBy("bound", "alpha").agg(F.count_if("certified").alias("certified"), F.sum("size").alias("cells"), F.sum("n").alias("sampled"), F.sum(F.when(F.col("certified"), 0).otherwise(rest)).alias("recompute"), F.sum(F.when(F.col("certified"), rest).otherwise(0)).alias("reused"))
+    return out.withColumn("savings", savings(F.col("sampled"), F.col("recompute"), F.col("cells")))
+
+
 def family(cells: DataFrame) -> DataFrame:
     """By model: flips between two draws of the same prompt, flips after the edit, and whether the edit's
     are less than twice the draws'. cells: model, self_flip, edit_flip."""
@@ -260,18 +293,21 @@ def family(cells: DataFrame) -> DataFrame:
 
 
 def lag1(rows: DataFrame, order: Sequence[str], value: str, part: Sequence[str] = ()) -> DataFrame:
-    """Lag-1 autocorrelation of a series, by part."""
-    w = Window.partitionBy(*part).orderBy(*order)
-    x = rows.withColumn("mean", F.avg(value).over(Window.partitionBy(*part))).withColumn("d", F.col(value) - F.col("mean"))
-    x = x.withColumn("prev", F.lag("d").over(w))
+    """Lag-1 autocorrelation of a series, by part. A part of any size: its order goes over range partitions."""
+    means = rows.groupBy(*[F.col(c).alias(f"__{c}") for c in part]).agg(F.avg(value).alias("__mean"))
+    same = F.lit(True)
+    for c in part:
+        same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    d = rows.join(means, same).withColumn("d", F.col(value) - F.col("__mean")).select(*part, *order, "d")
+    x = before(d, list(part), list(order), F.col("d"), "prev")
     return x.groupBy(*part).agg(F.count("*").alias("n"), F.coalesce(F.sum(F.col("d") * F.col("prev")) / F.nullif(F.sum(F.col("d") * F.col("d")), F.lit(0.0)), F.lit(0.0)).alias("lag1"))
 
 
 def block_dispersion(rows: DataFrame, order: Sequence[str], flip: str, part: Sequence[str] = (), block: int = 32) -> DataFrame:
     """Variance of flips in blocks of consecutive rows against the binomial; an incomplete last block is
-    left out."""
-    w = Window.partitionBy(*part).orderBy(*order)
-    b = rows.withColumn("b", F.floor((F.row_number().over(w) - 1) / block)).groupBy(*part, "b").agg(F.count("*").alias("m"), F.sum(flip).alias("k")).where(F.col("m") == block)
+    left out. Rows are counted over range partitions, so a part may be of any size."""
+    placed = running(rows.select(*part, *order, flip), list(part), [F.col(c) for c in order], F.lit(1), "place")
+    b = placed.withColumn("b", F.floor(F.col("place") / block)).groupBy(*part, "b").agg(F.count("*").alias("m"), F.sum(flip).alias("k")).where(F.col("m") == block)
     s = b.groupBy(*part).agg(F.count("*").alias("blocks"), (F.sum("k") / F.sum("m")).alias("p"), F.coalesce(F.var_samp("k"), F.lit(0.0)).alias("variance"))
     expected = block * F.col("p") * (1 - F.col("p"))
     ratio = F.when(expected > 0, F.col("variance") / expected).otherwise(1.0)
@@ -314,11 +350,13 @@ def path_replay(looks: DataFrame) -> DataFrame:
     return g.withColumn("flips", F.when(F.col("flips") == F.col("most"), F.col("flips")).otherwise(F.raise_error(F.lit("looks of one stratum and depth disagree")).cast("long"))).drop("most")
 
 
-def label_export(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Aligned arrays of row ids, cached and fresh values by pair; null where there is no fresh value."""
-    rows = old.join(new.select("pair", "row_id", F.col("value").alias("fresh")), ["pair", "row_id"], "left")
+def label_export(old: DataFrame, new: DataFrame, piece: int = 1000) -> DataFrame:
+    """Aligned arrays of row ids, cached and fresh values by pair; null where there is no fresh value. The
+    arrays hold piece rows at most, in the order of row ids: piece 0 the first of a pair, and so on."""
+    rows = old.join(new.select("pair", "row_id", F.col("value").alias("fresh")), ["pair", "row_id"], "left").select("pair", "row_id", "value", "fresh")
+    rows = running(rows, ["pair"], [F.col(c) for c in ("row_id", "value", "fresh")], F.lit(1), "place")
     s = F.sort_array(F.collect_list(F.struct("row_id", "value", "fresh")))
-    return rows.groupBy("pair").agg(s.alias("s")).select("pair", F.transform("s", lambda x: x.row_id).alias("row_ids"), F.transform("s", lambda x: x.value).alias("cached"), F.transform("s", lambda x: x.fresh).alias("fresh"))
+    return rows.groupBy("pair", F.floor(F.col("place") / piece).alias("piece")).agg(s.alias("s")).select("pair", "piece", F.transform("s", lambda x: x.row_id).alias("row_ids"), F.transform("s", lambda x: x.value).alias("cached"), F.transform("s", lambda x: x.fresh).alias("fresh"))
 
 
 def noise_floor(draws: DataFrame) -> DataFrame:
@@ -364,6 +402,5 @@ def supg_by_value(cells: DataFrame, score: str, alpha: float, delta: float, budg
 def lag1_counts(rows: DataFrame, order: Sequence[str], flip: str, part: Sequence[str] = ()) -> DataFrame:
     """The same autocorrelation of 0/1 series as whole numbers, so ties of permutations are exact: n times
     the pairs that both flip, n, and the flips."""
-    w = Window.partitionBy(*part).orderBy(*order)
-    x = rows.withColumn("__prev", F.lag(flip).over(w))
+    x = before(rows.select(*part, *order, flip), list(part), list(order), F.col(flip), "__prev")
     return x.groupBy(*part).agg(F.count("*").alias("n"), F.sum(flip).alias("flips"), F.coalesce(F.sum(F.col(flip) * F.col("__prev")), F.lit(0)).alias("pairs"))

@@ -53,6 +53,26 @@ def discard(*frames: DataFrame) -> None:
             p.getFileSystem(conf).delete(p, True)
 
 
+def before(df: DataFrame, keys: list[str], order: list[str], value: Column, name: str) -> DataFrame:
+    """The value of the row before, within keys in ascending order, as column name; null for the first.
+
+    As in running(), no key's rows meet in one task: rows are range-partitioned, and the first row of a
+    key in a partition takes the value from the end of the partition before it that has the key.
+    """
+    cols = df.columns
+    parts = df.withColumn("__v", value).repartitionByRange(*[F.col(k).asc_nulls_last() for k in keys], *order)
+    parts = materialize(parts.withColumn("__p", F.spark_partition_id()), "before")
+    by = Window.partitionBy("__p", *keys).orderBy(*order)
+    here = parts.withColumn("__lag", F.lag("__v").over(by)).withColumn("__first", F.row_number().over(by) == 1)
+    ends = parts.groupBy("__p", *keys).agg(F.max(F.struct(*order, "__v")).alias("__end"))
+    earlier = F.lag("__end.__v").over(Window.partitionBy(*keys).orderBy("__p"))
+    last = ends.select(F.col("__p").alias("__op"), *[F.col(k).alias(f"__o{i}") for i, k in enumerate(keys)], earlier.alias("__last"))
+    same = F.col("__p") == F.col("__op")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"__o{i}"))
+    return here.join(last, same, "left").select(*cols, F.when(F.col("__first"), F.col("__last")).otherwise(F.col("__lag")).alias(name))
+
+
 def running(df: DataFrame, keys: list[str], order: list[Column], value: Column, name: str) -> DataFrame:
     """Exclusive running sum of value within keys in the given order, as column name.
 

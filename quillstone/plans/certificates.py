@@ -357,13 +357,44 @@ def cal_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("event_type", "event_id", F.col("place").cast("long").alias("place"))
 
 
-@query("label_export", "WITH d AS (SELECT doc_id % 8 AS pair, doc_id, source, quality FROM documents LEFT JOIN labels USING (doc_id)) SELECT pair, string_agg(doc_id::VARCHAR || '=' || source || '/' || coalesce(quality::VARCHAR, '-'), ' ' ORDER BY doc_id) AS labels FROM d GROUP BY pair")
+@query("label_export", "WITH d AS (SELECT doc_id % 8 AS pair, doc_id, source, quality, (row_number() OVER (PARTITION BY doc_id % 8 ORDER BY doc_id, source, quality) - 1) // 1000 AS piece FROM documents LEFT JOIN labels USING (doc_id)) SELECT pair, piece, string_agg(doc_id::VARCHAR || '=' || source || '/' || coalesce(quality::VARCHAR, '-'), ' ' ORDER BY doc_id) AS labels FROM d GROUP BY pair, piece")
 def label_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     pair = (F.col("doc_id") % 8).alias("pair")
     old = table(spark, sf_dir, "documents").select(pair, F.col("doc_id").alias("row_id"), F.col("source").alias("value"))
     new = table(spark, sf_dir, "labels").select(pair, F.col("doc_id").alias("row_id"), F.col("quality").cast("string").alias("value"))
     both = F.zip_with(F.zip_with("row_ids", "cached", lambda i, v: F.concat(i.cast("string"), F.lit("="), v)), "fresh", lambda a, q: F.concat(a, F.lit("/"), F.coalesce(q, F.lit("-"))))
-    return evaluate.label_export(old, new).select("pair", F.array_join(both, " ").alias("labels"))
+    return evaluate.label_export(old, new).select("pair", "piece", F.array_join(both, " ").alias("labels"))
+
+
+_FAILED = "CASE WHEN event_id % 13 <> 0 THEN ((value >= 100) <> (value >= 102))::INT END"
+
+
+@query("failure_as_flip", f"SELECT event_type, count(*) AS n, count(*) FILTER (f IS NULL) AS failed, round(avg(f), 9) AS rate_without, round(avg(coalesce(f, 1)), 9) AS rate_as_flips FROM (SELECT event_type, {_FAILED} AS f FROM events) GROUP BY event_type")
+def failure_as_flip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every thirteenth call failed."""
+    c = event_cells(spark, sf_dir, "small").withColumn("flip", F.when(F.col("row_id") % 13 != 0, F.col("flip")))
+    return evaluate.failure_as_flip(c, "event_type").withColumns({x: F.round(x, 9) for x in ("rate_without", "rate_as_flips")})
+
+
+@query("bound_ablation")
+def bound_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five bounds at four budgets over the same order of cells."""
+    out = evaluate.bound_ablation(event_cells(spark, sf_dir, "other"), Procedure(), list(bounds.BOUNDS), (0.05, 0.1, 0.15, 0.2))
+    return out.withColumn("savings", F.round("savings", 9))
+
+
+@query("aggregate_cert", f"""WITH cells AS (SELECT event_id AS row_id, event_type, 'all' AS stratum, ((value >= 100) <> ({EDITS['small']}))::INT AS flip FROM events), {_exact_sql(Procedure())},
+ranked AS (SELECT stratum, row_id, row_number() OVER w AS place, sum(flip) OVER (w ROWS UNBOUNDED PRECEDING) AS flips FROM cells WINDOW w AS (PARTITION BY stratum ORDER BY md5('42:' || row_id::VARCHAR), row_id)),
+seen AS (SELECT k.stratum, size, look, n, flips, flips <= k_max AS certified, flips > k_max AND flips > 0.1 * n AS futile FROM kmax k JOIN ranked r ON r.stratum = k.stratum AND r.place = k.n),
+decided AS (SELECT * FROM seen QUALIFY row_number() OVER (ORDER BY CASE WHEN certified OR futile THEN look ELSE 1000 - look END) = 1)
+SELECT event_type, count(*) FILTER (certified AND place > n) AS reused, coalesce(sum(flip) FILTER (certified AND place > n), 0)::BIGINT AS flips FROM cells JOIN ranked USING (row_id) CROSS JOIN decided GROUP BY event_type""")
+def aggregate_cert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One certificate over all cells, and what it leaves in each event type."""
+    c = event_cells(spark, sf_dir, "small").withColumn("stratum", F.lit("all"))
+    p = Procedure()
+    decisions = certify.replay(c, p)
+    fates = certify.partition_cells(c, decisions, p)
+    return evaluate.subgroup_error(c, decisions, fates.where("fate = 'sampled'"), "event_type")
 
 
 @query("path_replay", f"WITH {_cells_sql('other')} SELECT stratum, n, sum(flip)::BIGINT AS flips FROM (SELECT stratum, flip, row_number() OVER (PARTITION BY stratum ORDER BY md5('42:' || row_id::VARCHAR), row_id) AS place FROM cells) JOIN (SELECT unnest([45, 90, 180]) AS n) ON place <= n GROUP BY stratum, n HAVING max(place) = n")

@@ -13,14 +13,14 @@ from quillstone.plans.registry import query, table
 # raw strings: what surveys hold, many times over
 
 RAW = ("", "NA", "N/A", "null", "  ", " 7 ", "3.5", "Less than 1 year", "more than 50 years", "1e400", "NaN", "abc", "a;b; c ;;d", " x ", "-2", "12;")
-_RAW_SQL = "WITH raw AS (SELECT e.event_id, r.v FROM events e JOIN (SELECT unnest([" + ", ".join(f"'{v}'" for v in RAW) + "]) AS v, unnest(range(0, 16)) AS i) r ON e.event_id % 17 = r.i)\n"
+_RAW_SQL = "WITH raw AS (SELECT e.event_id, r.v FROM events e LEFT JOIN (SELECT unnest([" + ", ".join(f"'{v}'" for v in RAW) + "]) AS v, unnest(range(0, 16)) AS i) r ON e.event_id % 17 = r.i)\n"
 _NUM = "CASE WHEN isfinite(try_cast(trim(v) AS DOUBLE)) THEN try_cast(trim(v) AS DOUBLE) END"
 
 
 def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A raw value for each event but every seventeenth, which has none and is left out."""
+    """A raw value for each event; every seventeenth has none."""
     values = F.array(*map(F.lit, RAW))
-    return table(spark, sf_dir, "events").select("event_id", F.get(values, (F.col("event_id") % 17).cast("int")).alias("v")).where("v is not null")
+    return table(spark, sf_dir, "events").select("event_id", F.get(values, (F.col("event_id") % 17).cast("int")).alias("v"))
 
 
 def _normal(name: str, column, sql: str) -> None:
@@ -156,12 +156,12 @@ def columns(spark: SparkSession, version: int = 1) -> DataFrame:
 
 
 def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An entry for every two hundredth event."""
-    e = table(spark, sf_dir, "events").where("event_id % 200 = 0")
+    """An entry for every event."""
+    e = table(spark, sf_dir, "events")
     return e.select(F.col("event_id").cast("string").alias("id"), F.col("ts").cast("timestamp").alias("at"), F.lit("run").alias("kind"), F.lit("big").alias("column_id"), F.lit("model-a").alias("model"), (F.col("event_id") % 71).alias("cells"), F.lit(0).cast("long").alias("input_tokens"), F.lit(0).cast("long").alias("output_tokens"), (F.col("event_id") % 71 / 100).alias("cost_usd"))
 
 
-LEDGER_SQL = "ledger AS (SELECT event_id::VARCHAR AS id, ts AS written, event_id % 71 AS cells, (event_id % 71) / 100 AS cost_usd FROM events WHERE event_id % 200 = 0)\n"
+LEDGER_SQL = "ledger AS (SELECT event_id::VARCHAR AS id, ts AS written, event_id % 71 AS cells, (event_id % 71) / 100 AS cost_usd FROM events)\n"
 
 
 @query("estimate_run", f"{_DOCS_SQL} SELECT rows, input_tokens, output_tokens, (input_tokens + output_tokens * 4) / 1e6 AS cost_usd, rows > 100 OR (input_tokens + output_tokens * 4) / 1e6 > 0.5 AS confirm FROM (SELECT count(*) AS rows, sum(160 + ceil(length({_BOUND_SQL}) / 4))::BIGINT AS input_tokens, count(*) * 60 AS output_tokens FROM d)")
@@ -212,6 +212,19 @@ def ledger_span(spark: SparkSession, sf_dir: str) -> DataFrame:
         FROM ledger_span_runs WHERE at < (SELECT max(at) FROM ledger_span_runs)""")
 
 
+@query("scalar_subs", "SELECT (SELECT count(*) FROM events WHERE value >= 100) AS large, (SELECT count(DISTINCT user_id) FROM events) AS users")
+def scalar_subs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two scalar subqueries in one row."""
+    return spark.sql("SELECT (SELECT count(*) FROM {e} WHERE value >= 100) AS large, (SELECT count(DISTINCT user_id) FROM {e}) AS users", e=table(spark, sf_dir, "events"))
+
+
+@query("substring", "SELECT doc_id, length(substr(text, 1, 4000)) AS n, md5(substr(text, 1, 4000)) AS digest FROM documents")
+def substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts bounded to 4000 characters, as they are before binding: a feature of this query alone."""
+    cut = text.bounded(F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.length(cut).cast("long").alias("n"), F.md5(cut).alias("digest"))
+
+
 @query("run_window", CELLS_SQL + ", " + LEDGER_SQL + """, r AS (SELECT id, written, lag(written) OVER (ORDER BY written, id) AS since FROM ledger)
 SELECT r.id AS run_id, floor(epoch(min(updated_at)))::BIGINT AS first_at, floor(epoch(max(updated_at)))::BIGINT AS last_at, count(row_id) AS n, count(*) FILTER (status = 'done') AS done
 FROM r LEFT JOIN cells ON updated_at <= written AND (since IS NULL OR updated_at > since) GROUP BY r.id""")

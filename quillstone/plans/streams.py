@@ -35,9 +35,10 @@ def rate_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = table(spark, sf_dir, "events").schema
     stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*")
     name = "rates_" + uuid.uuid4().hex
-    q = limits.run_counts(stream, "user_id", name, shared_path(spark, name), limit=5, seconds=DAY)
+    path = shared_path(spark, name)
+    q = limits.run_counts(stream, "user_id", path, shared_path(spark, name), limit=5, seconds=DAY)
     q.awaitTermination()
-    return spark.table(name)
+    return limits.read_counts(spark, path, "user_id", schema["user_id"].dataType.simpleString())
 
 
 def log(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -37,10 +37,28 @@ def window_counts(requests: DataFrame, key: str, ts: str = "ts", seconds: int =
     return counts.select(key, F.unix_seconds(F.col("w.start")).alias("window_start"), "requests")
 
 
-def run_counts(stream: DataFrame, key: str, name: str, checkpoint: str, limit: int = LIMIT, seconds: int = SECONDS, mode: str = "complete", watermark: str | None = None) -> StreamingQuery:
-    """A streaming query of window counts with how many requests are over the limit, to a memory table."""
+def run_counts(stream: DataFrame, key: str, path: str, checkpoint: str, limit: int = LIMIT, seconds: int = SECONDS, mode: str = "update", watermark: str | None = None) -> StreamingQuery:
+    """A streaming query of window counts with how many requests are over the limit, to Parquet at path.
+
+    Each batch is a folder of its own, overwritten if the batch is repeated: what changed (`update`) or
+    what is closed (`append`). read_counts() gives the present state.
+    """
     counts = window_counts(stream, key, seconds=seconds, watermark=watermark).withColumn("rejected", F.greatest(F.lit(0), F.col("requests") - limit))
-    return counts.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={number}")
+
+    return counts.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def read_counts(spark: SparkSession, path: str, key: str, kind: str = "long") -> DataFrame:
+    """(key, window_start, requests, rejected) as of the last batch at path; none if there was no batch. kind: the key's type."""
+    schema = f"`{key}` {kind}, window_start long, requests long, rejected long, batch long"
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not jvm_path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(jvm_path):
+        return spark.createDataFrame([], schema).drop("batch")
+    rows = spark.read.schema(schema).parquet(path)
+    return rows.groupBy(key, "window_start").agg(F.max_by(F.struct("requests", "rejected"), "batch").alias("c")).select(key, "window_start", "c.*")
 
 
 # event logs of conversations: (chat_id, event_index, event, at)

@@ -141,3 +141,36 @@ def test_evaluations(spark):
     assert p.selected == 5
     j = spark.createDataFrame([("x", "x", None, None), ("x", "y", "SAME", "SAME"), ("x", "y", "SAME", "NO"), ("x", "y", None, "SAME")], "a string, b string, ab string, ba string")
     assert [r[0] for r in j.select(evaluate.equivalent(*map(F.col, ("a", "b", "ab", "ba")))).collect()] == [True, True, False, None]
+
+
+def test_the_row_before_over_partitions(spark):
+    from quillstone.operators.tables import before
+
+    rows = [("a" if i % 3 else None, i * 7 % 1000, i) for i in range(1000)] + [("b", 1, 5)]
+    df = spark.createDataFrame(rows, "k string, t int, v long").repartition(5)
+    got = {(r.k, r.t): r.prev for r in before(df, ["k"], ["t"], F.col("v"), "prev").collect()}
+    want = {}
+    for k in ("a", None, "b"):
+        own = sorted((t, v) for x, t, v in rows if x == k)
+        want |= {(k, t): own[i - 1][1] if i else None for i, (t, _) in enumerate(own)}
+    assert got == want
+
+
+def test_failures_subgroups_and_pieces(spark):
+    df = spark.createDataFrame([("x", 1), ("x", 0), ("x", None), ("y", None)], "part string, flip int")
+    got = {r.part: (r.n, r.failed, r.rate_without, r.rate_as_flips) for r in evaluate.failure_as_flip(df, "part").collect()}
+    assert got == {"x": (3, 1, 0.5, 2 / 3), "y": (1, 1, None, 1.0)}
+    c = spark.createDataFrame([(i, i % 2, "s" if i < 6 else "t") for i in range(9)], "row_id long, flip int, part string")
+    drawn, yes = spark.createDataFrame([(0,), (1,)], "row_id long"), spark.createDataFrame([(True,)], "certified boolean")
+    assert {tuple(r) for r in evaluate.subgroup_error(c, yes, drawn, "part").collect()} == {("s", 4, 2), ("t", 3, 1)}
+    assert {tuple(r) for r in evaluate.subgroup_error(c, yes.where("not certified"), drawn, "part").collect()} == {("s", 0, 0), ("t", 0, 0)}
+    old = spark.createDataFrame([(1, i, f"v{i}") for i in range(7)], "pair int, row_id int, value string")
+    out = sorted(evaluate.label_export(old, old.where("row_id <> 3"), piece=3).collect(), key=lambda r: r.piece)
+    assert [r.row_ids for r in out] == [[0, 1, 2], [3, 4, 5], [6]] and out[1].fresh == [None, "v4", "v5"]
+
+
+def test_ablation_is_certification_by_each_bound(spark):
+    c = cells(spark, ("a", 900, 20), ("b", 400, 90))
+    for r in evaluate.bound_ablation(c, Procedure(), list(bounds.BOUNDS), (0.05, 0.1)).collect():
+        one = certify.replay(c, Procedure(bound=r.bound, alpha=r.alpha)).collect()
+        assert (r.certified, r.sampled, r.cells) == (sum(x.certified for x in one), sum(x.n for x in one), 1300)

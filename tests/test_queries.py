@@ -50,9 +50,10 @@ def test_streams_with_a_watermark(spark, tmp_path):
     src = spark.read.parquet(f"{DATA}/events.parquet")
     src.write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(src.schema).parquet(str(tmp_path / "in"))
-    q = limits.run_counts(stream, "user_id", "closed_windows", str(tmp_path / "at"), 5, 86_400, mode="append", watermark="1 hour")
+    q = limits.run_counts(stream, "user_id", str(tmp_path / "closed"), str(tmp_path / "at"), 5, 86_400, mode="append", watermark="1 hour")
     q.awaitTermination()
     batch = limits.window_counts(src, "user_id", seconds=86_400)
-    closed = spark.table("closed_windows")
+    closed = limits.read_counts(spark, str(tmp_path / "closed"), "user_id")
     assert closed.count() > 0 and closed.select("user_id", "window_start", "requests").exceptAll(batch).count() == 0
+    assert limits.read_counts(spark, str(tmp_path / "nothing"), "user_id").count() == 0
     assert limits.limited(src, "user_id", limit=1, seconds=86_400).where(F.col("rejected") & (F.col("retry_after") <= 0)).count() == 0
