@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstone.llm import language_id, mixing
-from quillstone.llm.bpe import decode, encode_array
+from quillstone.llm.bpe import encode_and_back
 from quillstone.llm.common import materialize, table
 from quillstone.llm.line_dedup import line_dedup
 from quillstone.llm.minhash import near_dedup
@@ -65,9 +65,8 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts have no ids; texts of any length are encoded whole.
     """
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    out = docs.withColumn("ids", encode_array(F.col("text"), path, pattern))
-    back = F.sha2(decode(F.col("ids"), path, pattern), 256)
-    return out.select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), back.alias("decoded_sha256"))
+    out = docs.withColumn("t", encode_and_back(F.col("text"), path, pattern))
+    return out.select("doc_id", "lang", "source", "t.ids", F.size("t.ids").cast("long").alias("n_tokens"), "t.decoded_sha256")
 
 
 STAGES = [

@@ -15,6 +15,7 @@ from __future__ import annotations
 import base64
 from collections.abc import Iterable, Iterator, Mapping
 from functools import lru_cache
+from hashlib import sha256
 from heapq import heappop, heappush
 from itertools import islice
 
@@ -507,6 +508,25 @@ def encode_array(text: Column, path: str, pattern: str) -> Column:
     return ids(text)
 
 
+def encode_and_back(text: Column, path: str, pattern: str) -> Column:
+    """ids, as by encode_array(), and the SHA-256 (lowercase hex) of the bytes that they decode to, text by text."""
+
+    @F.arrow_udf("struct<ids array<int>, decoded_sha256 string>")
+    def both(batch: pa.Array) -> pa.Array:
+        v, digests = vocabulary(path, pattern), []
+
+        def encoded() -> Iterator[bytes]:
+            for ids in v.encode_all(_texts(batch)):
+                digests.append(sha256(v.decode(ids)).hexdigest())
+                yield ids
+
+        ends, data = _joined(encoded())
+        ids = pa.ListArray.from_arrays(pa.array((ends // 4).astype(np.int32)), pa.array(np.frombuffer(data, "<i4")))
+        return pa.StructArray.from_arrays([ids, pa.array(digests, pa.string())], ["ids", "decoded_sha256"])
+
+    return both(text)
+
+
 def bpe_round_trip(df: DataFrame, path: str, pattern: str, text_col: str = "text") -> DataFrame:
     """df with ids (binary), n_tokens and decoded (binary), which equals the text in UTF-8.
 

@@ -137,7 +137,8 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
             dropped.append(len(old) - len(new))
         return pa.StructArray.from_arrays([pa.array(kept, pa.string()), pa.array(total, pa.int64()), pa.array(dropped, pa.int64())], ["kept_text", "n_lines", "n_dropped"])
 
-    some = df.where(loses).join(drops, F.col(id_col).eqNullSafe(F.col("__id")), "left").select(*df.columns, "__drop")
-    rest = df.where(~loses).withColumn("__drop", F.lit(None).cast("array<string>"))
-    out = some.unionByName(rest).withColumn("__r", lines(text, F.col("__drop")))
-    return out.select(*df.columns, *[F.col(f"__r.{c}").alias(c) for c in RESULTS])
+    some = df.where(loses).join(drops, F.col(id_col).eqNullSafe(F.col("__id")), "left").withColumn("__r", lines(text, F.col("__drop")))
+    whole = F.coalesce(text, F.lit(""))
+    breaks = F.length(whole) - F.length(F.replace(whole, F.lit("\n"), F.lit("")))
+    rest = df.where(~loses).select(*df.columns, whole.alias("kept_text"), (breaks + 1).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_dropped"))
+    return some.select(*df.columns, *[F.col(f"__r.{c}").alias(c) for c in RESULTS]).unionByName(rest)
