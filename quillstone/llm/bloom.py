@@ -23,7 +23,7 @@ PER_KEY = 16
 PROBES = 3
 SEGMENT = 1 << 16  # bytes
 #: Hashes that a task folds before it passes them on.
-FOLD = 1 << 20
+FOLD = 1 << 18
 
 
 def bits_for(n: int, per_key: int = PER_KEY) -> int:

@@ -32,7 +32,7 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 REMEMBERED, RECALLED = 500_000, 1_500_000
 #: Bytes up to which pre-tokens are merged many at a time, how many are worth it, and the characters of
 #: the texts that they are looked up in together.
-SHORT, MANY, TOGETHER = 64, 2000, 3_000_000
+SHORT, MANY, TOGETHER = 64, 2000, 1_500_000
 #: No entry of a hash, and that of another pre-token.
 ABSENT, CLASH = -1, -2
 #: Bits of a bitmap word; Python's integers can be as wide as that.

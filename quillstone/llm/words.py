@@ -84,7 +84,7 @@ def chunks(texts: list, most: int) -> Iterator[tuple[int, list[str]]]:
 
 #: Characters that are labelled together, and that are turned into numbers together. Chains gain from
 #: many texts side by side; what a character takes on the way to its word's numbers is ten times as much.
-TOGETHER, PIECE = 4_000_000, 500_000
+TOGETHER, PIECE = 2_000_000, 500_000
 
 
 class Scan:
