@@ -79,7 +79,7 @@ def decide(ranks: DataFrame, looks: DataFrame, alpha: float, extra: tuple[str, .
     A stratum stops at the first look that certifies it or that shows more flips than alpha allows,
     else at the last. looks has few rows; ranks is as large as the cells.
     """
-    at = F.broadcast(looks.select(F.col("stratum").alias("s"), "size", "look", "n", "k_max"))
+    at = looks.select(F.col("stratum").alias("s"), "size", "look", "n", "k_max")
     seen = ranks.join(at, (F.col("stratum") == F.col("s")) & (F.col("place") == F.col("n")))
     seen = seen.withColumn("certified", F.col("flips") <= F.col("k_max")).withColumn("futile", ~F.col("certified") & (F.col("flips") > F.lit(alpha) * F.col("n")))
     stop = F.min_by(F.struct("size", "look", "n", "flips", "certified", "futile"), F.struct(F.when(F.col("certified") | F.col("futile"), 0).otherwise(1), F.when(F.col("certified") | F.col("futile"), F.col("look")).otherwise(-F.col("look"))))
@@ -110,7 +110,7 @@ def replay(cells: DataFrame, p: Procedure, order: str = "hash") -> DataFrame:
 def _fates(cells: DataFrame, drawn: DataFrame, decisions: DataFrame) -> DataFrame:
     """cells with fate. drawn: row_id and fresh of the rows that were sampled, fresh null where the oracle
     failed."""
-    d = F.broadcast(decisions.select(F.col("stratum").alias("s"), "certified"))
+    d = decisions.select(F.col("stratum").alias("s"), "certified")
     seen = drawn.select(F.col("row_id").alias("__r"), F.col("fresh").alias("__fresh"), F.lit(True).alias("__drawn"))
     out = cells.join(seen, F.col("row_id") == F.col("__r"), "left").join(d, F.col("stratum") == F.col("s"))
     fate = F.when(F.col("__drawn") & F.col("__fresh").isNotNull(), "sampled").when(F.col("__drawn").isNull() & F.col("certified"), "reuse").otherwise("recompute")
@@ -121,7 +121,7 @@ def partition_cells(cells: DataFrame, decisions: DataFrame, p: Procedure) -> Dat
     """cells with fate: sampled, reuse or recompute. Sampled rows without a fresh value are recomputed."""
     known = decisions.agg(F.max("n"), F.max("size")).first()
     ranks = ranked(cells, hash_order(p.seed, F.col("row_id")), known[0] or 0, known[1] or 0)
-    d = F.broadcast(decisions.select(F.col("stratum").alias("s"), F.col("n").alias("last")))
+    d = decisions.select(F.col("stratum").alias("s"), F.col("n").alias("last"))
     drawn = ranks.join(d, F.col("stratum") == F.col("s")).where("place <= last").select("row_id", F.col("flip").alias("fresh"))
     return _fates(cells, drawn, decisions).select(*cells.columns, "fate")
 

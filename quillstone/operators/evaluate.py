@@ -65,7 +65,7 @@ def replications(cells: DataFrame, p: Procedure, seeds: DataFrame) -> DataFrame:
     ranks = ranks.withColumn("flips", F.sum("flip").over(upto))
     stops = decide(ranks, looks, p.alpha, ("seed",))
     whole = cells.groupBy(F.col("stratum").alias("s")).agg(F.sum("flip").alias("all_flips"))
-    rows = stops.join(F.broadcast(whole), F.col("stratum") == F.col("s"))
+    rows = stops.join(whole, F.col("stratum") == F.col("s"))
     reused = F.when(F.col("certified"), F.col("size") - F.col("n")).otherwise(0)
     bad = F.col("certified") & (F.col("all_flips") > F.lit(p.alpha) * F.col("size") + 1e-9)
     out = rows.groupBy("seed").agg(F.sum("size").alias("cells"), F.sum("n").alias("sampled"), F.sum(F.when(F.col("certified"), 0).otherwise(F.col("size") - F.col("n"))).alias("recompute"), F.sum(reused).alias("reused"), F.sum(F.when(F.col("certified"), F.col("all_flips") - F.col("flips")).otherwise(0)).alias("reused_flips"), F.max(bad.cast("int")).alias("unsafe"))
