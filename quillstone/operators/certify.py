@@ -73,13 +73,14 @@ def looks_of(spark: SparkSession, plan: list[tuple]) -> DataFrame:
     return spark.createDataFrame(plan, LOOKS)
 
 
-def decide(ranks: DataFrame, looks: DataFrame, alpha: float, extra: tuple[str, ...] = ()) -> DataFrame:
+def decide(ranks: DataFrame, looks: DataFrame, alpha: float | Column, extra: tuple[str, ...] = ()) -> DataFrame:
     """(stratum, size, look, n, flips, certified, futile) of the look at which each stratum stops.
 
     A stratum stops at the first look that certifies it or that shows more flips than alpha allows,
-    else at the last. looks has few rows; ranks is as large as the cells.
+    else at the last. looks has few rows; ranks is as large as the cells. extra: columns of either that
+    tell several runs apart.
     """
-    at = looks.select(F.col("stratum").alias("s"), "size", "look", "n", "k_max")
+    at = looks.select(F.col("stratum").alias("s"), "size", "look", "n", "k_max", *[c for c in extra if c in looks.columns])
     seen = ranks.join(at, (F.col("stratum") == F.col("s")) & (F.col("place") == F.col("n")))
     seen = seen.withColumn("certified", F.col("flips") <= F.col("k_max")).withColumn("futile", ~F.col("certified") & (F.col("flips") > F.lit(alpha) * F.col("n")))
     stop = F.min_by(F.struct("size", "look", "n", "flips", "certified", "futile"), F.struct(F.when(F.col("certified") | F.col("futile"), 0).otherwise(1), F.when(F.col("certified") | F.col("futile"), F.col("look")).otherwise(-F.col("look"))))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 from dataclasses import replace
 
@@ -13,9 +14,9 @@ from pyspark.sql.window import Window
 
 from quillstone.functions import bounds
 from quillstone.functions.rng import hash_order
-from quillstone.operators.certify import Procedure, decide, looks_of, plan_looks, ranked, strata_sizes
+from quillstone.operators.certify import LOOKS, Procedure, decide, plan_looks, ranked, strata_sizes
 from quillstone.operators.ranks import nearest_ranks
-from quillstone.operators.tables import before, running
+from quillstone.operators.tables import before, materialize, running
 
 
 # labels
@@ -50,25 +51,71 @@ def savings(sampled: Column, recomputed: Column, n: Column) -> Column:
     return 1 - (sampled + recomputed) / n
 
 
-def replications(cells: DataFrame, p: Procedure, seeds: DataFrame) -> DataFrame:
-    """One replay for each seed: seed, n, sampled, recompute, reused, reused_flips, savings, unsafe.
+#: Standard deviations beyond a stratum's longest look up to which its hashes are ranked at first.
+MARGIN = 6.0
 
-    cells: stratum, row_id, flip; seeds: seed. Orders are hashes of seed and id, so any engine can
-    check them; cells times seeds rows are ranked. For many seeds on large strata, see monte_carlo.
+
+def _first_places(cells: DataFrame, sizes: dict[str, int], most: dict[str, int], seeds: tuple[int, int]) -> DataFrame:
+    """(seed, stratum, place, flips up to there) of at least the first `most` places of the orders of all
+    seeds from the first to the last.
+
+    Hashes are even, so those below a cut hold the first places with near certainty, and nothing else is
+    shuffled. Orders in which too few fall below the cut are ranked again without one: the result is exact.
+    """
+    spark, rows = cells.sparkSession, []
+    for s, size in sizes.items():
+        share = (most[s] + MARGIN * math.sqrt(most[s]) + MARGIN) / size
+        rows.append((s, most[s], f"{max(0, math.ceil(share * 2**32)):08x}" if share < 1 else "g"))
+    cuts = spark.createDataFrame(rows, "s string, most long, cut string")
+    seed = F.explode(F.sequence(*(F.lit(x).cast("long") for x in seeds))).alias("seed")
+    # each row becomes as many as there are seeds, so even a small table is dealt to all tasks; a given number of partitions stays
+    dealt = cells.select("stratum", "row_id", "flip").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "row_id")
+    each = dealt.join(cuts, F.col("stratum") == F.col("s")).select("stratum", "row_id", "flip", "cut", seed)
+    each = each.withColumn("__order", F.md5(F.concat(F.col("seed").cast("string"), F.lit(":"), F.coalesce(F.col("row_id").cast("string"), F.lit("")))))
+    by = Window.partitionBy("seed", "stratum").orderBy("__order", "row_id")
+
+    def rank(df: DataFrame) -> DataFrame:
+        flips = F.sum(F.coalesce("flip", F.lit(1))).over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        return df.select("seed", "stratum", F.row_number().over(by).alias("place"), flips.alias("flips"))
+
+    ranks = materialize(rank(each.where("__order < cut")), "places")
+    held = ranks.groupBy("seed", "stratum").agg(F.max("place").alias("held")).withColumnRenamed("stratum", "s")
+    short = cuts.where("cut <> 'g'").select("s", "most", seed).join(held, ["seed", "s"], "left").where("coalesce(held, 0) < most").select(F.col("seed"), F.col("s").alias("stratum"))
+    if short.isEmpty():
+        return ranks
+    return ranks.join(short, ["seed", "stratum"], "left_anti").unionByName(rank(each.join(short, ["seed", "stratum"], "left_semi")))
+
+
+def replications(cells: DataFrame, procedures: list[Procedure], trials: int, first_seed: int = 1000) -> DataFrame:
+    """One replay for each seed and procedure: seed, alpha, reuse_set, cells, sampled, recompute, reused,
+    reused_flips, unsafe, savings.
+
+    cells: stratum, row_id, flip (null counts as a flip). Orders are hashes of seed and id, so any engine can
+    check them; each cell is hashed once a seed, whatever the number of procedures, and about as many rows
+    as looks need are ranked. A procedure's own seed isn't used. For many seeds on large strata, see
+    monte_carlo. No trials, procedures or cells give no rows.
     """
-    plan = plan_looks(strata_sizes(cells), p)
-    looks = looks_of(cells.sparkSession, plan)
-    each = cells.crossJoin(F.broadcast(seeds))
-    by = Window.partitionBy("seed", "stratum").orderBy(F.md5(F.concat(F.col("seed").cast("string"), F.lit(":"), F.col("row_id").cast("string"))), "row_id")
-    ranks = each.withColumn("place", F.row_number().over(by)).where(F.col("place") <= max((r[3] for r in plan), default=0))
-    upto = Window.partitionBy("seed", "stratum").orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranks = ranks.withColumn("flips", F.sum("flip").over(upto))
-    stops = decide(ranks, looks, p.alpha, ("seed",))
-    whole = cells.groupBy(F.col("stratum").alias("s")).agg(F.sum("flip").alias("all_flips"))
+    sizes, spark = strata_sizes(cells), cells.sparkSession
+    plan = [(p.alpha, p.reuse_set, *look) for p in procedures for look in plan_looks(sizes, p)]
+    looks = spark.createDataFrame(plan, f"alpha double, reuse_set boolean, {LOOKS}")
+    if not plan or trials < 1:
+        ranks = spark.createDataFrame([], "seed long, stratum string, place int, flips long")
+    else:
+        most = {s: max(r[5] for r in plan if r[2] == s) for s in sizes}
+        ranks = _first_places(cells, sizes, most, (first_seed, first_seed + trials - 1))
+    stops = decide(ranks, looks, F.col("alpha"), ("seed", "alpha", "reuse_set"))
+    whole = cells.groupBy(F.col("stratum").alias("s")).agg(F.sum(F.coalesce("flip", F.lit(1))).alias("all_flips"))
     rows = stops.join(whole, F.col("stratum") == F.col("s"))
-    reused = F.when(F.col("certified"), F.col("size") - F.col("n")).otherwise(0)
-    bad = F.col("certified") & (F.col("all_flips") > F.lit(p.alpha) * F.col("size") + 1e-9)
-    out = rows.groupBy("seed").agg(F.sum("size").alias("cells"), F.sum("n").alias("sampled"), F.sum(F.when(F.col("certified"), 0).otherwise(F.col("size") - F.col("n"))).alias("recompute"), F.sum(reused).alias("reused"), F.sum(F.when(F.col("certified"), F.col("all_flips") - F.col("flips")).otherwise(0)).alias("reused_flips"), F.max(bad.cast("int")).alias("unsafe"))
+    sure, left = F.col("certified"), F.col("size") - F.col("n")
+    bad = sure & (F.col("all_flips") > F.col("alpha") * F.col("size") + 1e-9)
+    out = rows.groupBy("seed", "alpha", "reuse_set").agg(
+        F.sum("size").alias("cells"),
+        F.sum("n").alias("sampled"),
+        F.sum(F.when(sure, 0).otherwise(left)).alias("recompute"),
+        F.sum(F.when(sure, left).otherwise(0)).alias("reused"),
+        F.sum(F.when(sure, F.col("all_flips") - F.col("flips")).otherwise(0)).alias("reused_flips"),
+        F.max(bad.cast("int")).alias("unsafe"),
+    )
     return out.withColumn("savings", savings(F.col("sampled"), F.col("recompute"), F.col("cells")))
 
 

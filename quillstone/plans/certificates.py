@@ -160,22 +160,25 @@ def strata_category(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # replications and bounds
 
-SEEDS = 20
+TRIALS = 1000
+GRID = [Procedure(alpha=a, reuse_set=r) for a in (0.02, 0.05, 0.1, 0.2) for r in (False, True)]
 
 
-@query("replications", f"""WITH {_cells_sql('other')}, {_exact_sql(Procedure())},
-each AS (SELECT seed, stratum, row_id, flip FROM cells CROSS JOIN range(1000, {1000 + SEEDS}) t(seed)),
+@query("replications", f"""WITH {_cells_sql('other')},
+kmax AS ({" UNION ALL ".join(f"SELECT {p.alpha}::DOUBLE AS alpha, {p.reuse_set} AS reuse_set, * FROM (WITH {_exact_sql(p)} SELECT * FROM kmax)" for p in GRID)}),
+each AS (SELECT seed, stratum, row_id, flip FROM cells CROSS JOIN range(1000, {1000 + TRIALS}) t(seed)),
 ranked AS (SELECT seed, stratum, row_number() OVER w AS place, sum(flip) OVER (w ROWS UNBOUNDED PRECEDING) AS flips
   FROM each WINDOW w AS (PARTITION BY seed, stratum ORDER BY md5(seed::VARCHAR || ':' || row_id::VARCHAR), row_id)),
-seen AS (SELECT seed, k.stratum, size, look, n, flips, flips <= k_max AS certified, flips > k_max AND flips > 0.1 * n AS futile FROM kmax k JOIN ranked r ON r.stratum = k.stratum AND r.place = k.n),
-decided AS (SELECT * FROM seen QUALIFY row_number() OVER (PARTITION BY seed, stratum ORDER BY CASE WHEN certified OR futile THEN look ELSE 1000 - look END) = 1),
+seen AS (SELECT seed, alpha, reuse_set, k.stratum, size, look, n, flips, flips <= k_max AS certified, flips > k_max AND flips > alpha * n AS futile FROM kmax k JOIN ranked r ON r.stratum = k.stratum AND r.place = k.n),
+decided AS (SELECT * FROM seen QUALIFY row_number() OVER (PARTITION BY seed, alpha, reuse_set, stratum ORDER BY CASE WHEN certified OR futile THEN look ELSE 1000 - look END) = 1),
 whole AS (SELECT stratum, sum(flip) AS f FROM cells GROUP BY stratum)
-SELECT seed, sum(size)::BIGINT AS cells, sum(n)::BIGINT AS sampled, sum(CASE WHEN certified THEN 0 ELSE size - n END)::BIGINT AS recompute, sum(CASE WHEN certified THEN size - n ELSE 0 END)::BIGINT AS reused,
-       sum(CASE WHEN certified THEN f - flips ELSE 0 END)::BIGINT AS reused_flips, max((certified AND f > 0.1 * size + 1e-9)::INT) AS unsafe,
+SELECT seed, alpha, reuse_set, sum(size)::BIGINT AS cells, sum(n)::BIGINT AS sampled, sum(CASE WHEN certified THEN 0 ELSE size - n END)::BIGINT AS recompute, sum(CASE WHEN certified THEN size - n ELSE 0 END)::BIGINT AS reused,
+       sum(CASE WHEN certified THEN f - flips ELSE 0 END)::BIGINT AS reused_flips, max((certified AND f > alpha * size + 1e-9)::INT) AS unsafe,
        round(1 - (sum(n) + sum(CASE WHEN certified THEN 0 ELSE size - n END)) / sum(size), 9) AS savings
-FROM decided JOIN whole USING (stratum) GROUP BY seed""")
+FROM decided JOIN whole USING (stratum) GROUP BY seed, alpha, reuse_set""")
 def replications(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = evaluate.replications(event_cells(spark, sf_dir, "other"), Procedure(), spark.range(1000, 1000 + SEEDS).withColumnRenamed("id", "seed"))
+    """1,000 orders, four budgets, both estimands."""
+    out = evaluate.replications(event_cells(spark, sf_dir, "other"), GRID, TRIALS)
     return out.withColumn("savings", F.round("savings", 9))
 
 

@@ -100,12 +100,28 @@ def test_fixed_plan(spark):
 def test_monte_carlo_agrees_with_replications(spark):
     df = cells(spark, ("a", 2000, 120), ("b", 400, 8)).select("stratum", "row_id", "flip")
     p = Procedure()
-    exact = evaluate.replications(df, p, spark.range(1000, 1150).withColumnRenamed("id", "seed")).cache()
+    exact = evaluate.replications(df, [p], 150).cache()
     fast = evaluate.summary(evaluate.monte_carlo(df, p, 4000)).first()
     assert exact.count() == 150 and abs(exact.agg(F.avg("savings")).first()[0] - fast["mean"]) < 0.05 and fast["runs"] == 4000
     assert exact.where("sampled + recompute + reused <> cells").count() == 0
 
 
+def test_replications_by_cut_are_exact(spark, monkeypatch):
+    """Orders that the cut leaves too short are ranked whole; every cut gives the replay of its seed."""
+    df = cells(spark, ("a", 2000, 120), ("b", 400, 8), ("c", 3, 0)).select("stratum", "row_id", "flip")
+    grid = [Procedure(alpha=a, reuse_set=r) for a in (0.05, 0.1) for r in (False, True)]
+    want = {}
+    for p in grid:
+        for seed in (1000, 1001, 1002):
+            rows = certify.replay(df, Procedure(alpha=p.alpha, reuse_set=p.reuse_set, seed=seed)).collect()
+            want[seed, p.alpha, p.reuse_set] = (sum(r["n"] for r in rows), sum(r["size"] - r["n"] for r in rows if not r.certified))
+    for margin in (6.0, 0.0, -1000.0):
+        monkeypatch.setattr(evaluate, "MARGIN", margin)
+        got = {(r.seed, r.alpha, r.reuse_set): (r.sampled, r.recompute) for r in evaluate.replications(df, grid, 3).collect()}
+        assert got == want, margin
+    assert evaluate.replications(df.limit(0), grid, 3).count() == 0 and evaluate.replications(df, grid, 0).count() == 0
+
+
 def test_certification_is_valid(spark):
     """Strata at, above and far above the budget are hardly ever, or never, certified."""
     rate = lambda **k: (lambda r: (r.certified / r.trials, r.wrong / r.trials))(evaluate.calibration(spark, k.pop("size", 1800), **k).first())
